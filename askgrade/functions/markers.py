@@ -147,13 +147,20 @@ def site_tags_in_text(df: DataFrame, site_tags: DataFrame, column: str = "Body")
 def mark_external_tags(
     df: DataFrame, site_tags: DataFrame, column: str = "Body", match: str = "substring"
 ) -> DataFrame:
-    """T11, second half: other tags of the site become a marker."""
-    found = site_tags_in_text(df, site_tags, column)
+    """T11, second half: other tags of the site become a marker.
+
+    The text is shuffled by Id once: tokens and text both come from that exchange
+    (it is reused), the tokens are grouped on it and the found tags are joined on it,
+    so the cleaning before it is not repeated either.
+    """
+    texts = df.select("Id", column).repartition("Id")
+    found = site_tags_in_text(texts, site_tags, column)
     text = F.col(column)
     marked = F.when(
         F.col("found").isNotNull(), replace_words(text, F.col("found"), EXTERNAL_TAG, match)
     ).otherwise(text)
-    return df.join(found, "Id", "left").withColumn(column, marked).select(df.columns)
+    done = texts.join(found, "Id", "left").select("Id", marked.alias(column))
+    return df.drop(column).join(done, "Id").select(df.columns)
 
 
 def noun_forms(words: list[str]) -> list[str]:

@@ -23,7 +23,7 @@ APOSTROPHES = [
     (r"([^' ])('[sSmMdD]|')( |$)", r"$1 $2 "),
     (r"([^' ])('ll|'LL|'re|'RE|'ve|'VE|n't|N'T)( |$)", r"$1 $2 "),
     (r"(?i)\b(d)('ye)\b", r" $1 $2 "),
-    (r"(?i)\b(more)('n)\b", r" $1 $2 "),
+    (r"(?i)\b(mor)('n)\b", r" $1 $2 "),
     (r"(?i) ('t)(is|was)\b", r" $1 $2 "),
 ]
 CONTRACTIONS = [
