@@ -77,8 +77,6 @@ QUESTION_COLUMNS = [
     "ClosedDate",
 ]
 
-# Character classes spelled out so that the regex engine needs no Unicode flag.
+# Character classes that equal Python's \w and str.isspace() without a Unicode flag.
 WORD_CHARS = r"\p{L}\p{N}_"
-WHITESPACE_CHARS = (
-    r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-)
+WHITESPACE_CHARS = r" \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\p{Z}"

@@ -77,7 +77,7 @@ def unescape_native(c: Column) -> Column:
     decoded = c
     for entity, char in NATIVE_ENTITIES.items():
         decoded = F.replace(decoded, F.lit(entity), F.lit(char))
-    return decoded
+    return F.when(F.contains(c, F.lit("&")), decoded).otherwise(c)
 
 
 @F.pandas_udf(StringType())
@@ -234,7 +234,8 @@ def clean_html(
         irregular = irregular | marked.rlike(_TAG_INSIDE_PRE)
     irregular = irregular | body.rlike(_OTHER_ENTITY) | text.rlike(_OTHER_ENTITY)
     if replaced and not unescape_first:
-        steps = steps.withColumn("_second", strip_tags_native(unescape_native(text)))
+        steps = steps.withColumn("_decoded", unescape_native(text))
+        steps = steps.withColumn("_second", strip_tags_native(F.col("_decoded")))
         text = F.col("_second")
         irregular = irregular | text.rlike(_HALF_TAG) | text.rlike(_OTHER_ENTITY)
     result = collapse_whitespace(unescape_native(text))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,19 +22,23 @@ from askgrade.constants import (
 from askgrade.functions.tokens import word_tokens
 
 _W = f"[{WORD_CHARS}]"
-_EDGE = rf"(?:(?<={_W})(?!{_W})|(?<!{_W})(?={_W}))"
-
-# "0x" alone after a character that starts or ends a word, or "0x" plus digits and
-# letters; the character before it is consumed.  The four non-ASCII letters are the
-# ones that fold to ASCII letters when case is ignored.
-_HEX = rf"{_EDGE}[^0-9a-fA-F]0[xX](?!{_W})|[^0-9a-fA-F]0[xX][0-9A-Za-z\u0130\u0131\u017f\u212a]+"
+_NOT_W = f"[^{WORD_CHARS}]"
+
+# "0x" plus digits and letters, or "0x" alone when the character before it starts or
+# ends a word; that character is consumed.  The four non-ASCII letters are the ones
+# that fold to ASCII letters when case is ignored.
+_HEX = (
+    r"[^0-9a-fA-F]0[xX](?:[0-9A-Za-z\u0130\u0131\u017f\u212a]+"
+    rf"|(?!{_W})(?:(?<={_W}{_NOT_W}0[xX])|(?<=(?<!{_W}){_W}0[xX])))"
+)
 _NUMBER = rf"[+-]?(?<!{_W})\p{{Nd}}+(?!{_W})"
 _VERSION = r"(?i)\b(?:v\.?|vno\.?|version)\s*\d+(?:\.\d+)*"
 
 
 def mark_hexadecimal(text: Column) -> Column:
     """Hexadecimal values become a marker."""
-    return F.regexp_replace(text, _HEX, HEXADECIMAL)
+    candidate = F.contains(text, F.lit("0x")) | F.contains(text, F.lit("0X"))
+    return F.when(candidate, F.regexp_replace(text, _HEX, HEXADECIMAL)).otherwise(text)
 
 
 def mark_numeric(text: Column) -> Column:
@@ -99,14 +105,13 @@ def replace_words(
     return F.aggregate(hits, text, step)
 
 
-def _mark_listed(df, column, words, marker, match, short_words=True):
+def _mark_listed(df, column, words, possible, marker, match, short_words=True):
     """Replace the words of an array column that are tokens of the text.
 
-    Tokenising costs a dozen passes over the text, so it is left out for rows in
-    which none of the words occurs even as a substring.
+    Tokenising takes several passes over the text, so it is left out for rows that
+    are not ``possible``: none of the words occurs in them even as a substring.
     """
     text = F.col(column)
-    possible = F.exists(words, lambda w: F.contains(text, w))
     found = F.when(possible, F.array_intersect(words, word_tokens(text)))
     return (
         df.withColumn("_found", found)
@@ -125,8 +130,11 @@ def mark_attached_tags(
     df: DataFrame, column: str = "Body", tags: str = "Tags", match: str = "substring"
 ) -> DataFrame:
     """T11, first half: the question's own tags become a marker."""
-    own = df.withColumn("_own_tags", F.coalesce(tag_array(F.col(tags)), F.array().cast("array<string>")))
-    return _mark_listed(own, column, F.col("_own_tags"), ATTACHED_TAG, match).drop("_own_tags")
+    none = F.array().cast("array<string>")
+    own = df.withColumn("_own_tags", F.coalesce(tag_array(F.col(tags)), none))
+    tags_column = F.col("_own_tags")
+    possible = F.exists(tags_column, lambda t: F.contains(F.col(column), t))
+    return _mark_listed(own, column, tags_column, possible, ATTACHED_TAG, match).drop("_own_tags")
 
 
 def site_tags_in_text(df: DataFrame, site_tags: DataFrame, column: str = "Body") -> DataFrame:
@@ -151,7 +159,8 @@ def mark_external_tags(
 
     The text is shuffled by Id once: tokens and text both come from that exchange
     (it is reused), the tokens are grouped on it and the found tags are joined on it,
-    so the cleaning before it is not repeated either.
+    so the cleaning before it is not repeated either. The join hints keep estimates
+    made from compressed files from broadcasting the texts.
     """
     texts = df.select("Id", column).repartition("Id")
     found = site_tags_in_text(texts, site_tags, column)
@@ -159,8 +168,8 @@ def mark_external_tags(
     marked = F.when(
         F.col("found").isNotNull(), replace_words(text, F.col("found"), EXTERNAL_TAG, match)
     ).otherwise(text)
-    done = texts.join(found, "Id", "left").select("Id", marked.alias(column))
-    return df.drop(column).join(done, "Id").select(df.columns)
+    done = texts.join(found.hint("merge"), "Id", "left").select("Id", marked.alias(column))
+    return df.drop(column).join(done.hint("merge"), "Id").select(df.columns)
 
 
 def noun_forms(words: list[str]) -> list[str]:
@@ -175,7 +184,9 @@ def noun_forms(words: list[str]) -> list[str]:
 def mark_word_list(df: DataFrame, words: list[str], marker: str, column: str = "Body") -> DataFrame:
     """Tokens whose lemma is listed are replaced, longest surface form first."""
     forms = F.array(*[F.lit(w) for w in noun_forms(words)])
-    return _mark_listed(df, column, forms, marker, "substring", short_words=False)
+    stems = [w for w in words if not any(other != w and other in w for other in words)]
+    possible = reduce(lambda a, b: a | b, [F.contains(F.col(column), F.lit(w)) for w in stems])
+    return _mark_listed(df, column, forms, possible, marker, "substring", short_words=False)
 
 
 def mark_homework(df: DataFrame, column: str = "Body") -> DataFrame:

@@ -13,31 +13,37 @@ from askgrade.constants import WHITESPACE_CHARS
 
 # --- fixed values: splitting rules, in the order they apply.  They use only the
 # regex subset that Java and RE2 share, so other engines can run the same list.
-SENTENCE_END = [(r"""([^.])\.([\])}>"']*)(\s+|$)""", r"$1 . $2 ")]
-PUNCTUATION = [
+BEFORE_APOSTROPHES = [
+    # full stop at the end of a sentence
+    (r"""([^.])\.([\])}>"']*)(\s+|$)""", r"$1 . $2 "),
+    # punctuation, brackets, quotes, dashes, ellipsis
     (r"""(\.\.\.|--|``|''|[;@#$%&?!\[\](){}<>"])""", r" $1 "),
-    (r"([:,])(\D)", r" $1 $2"),
-    (r"([:,])$", r" $1 "),
+    # comma and colon, unless a digit follows
+    (r"([:,])(\D|$)", r" $1 $2"),
 ]
 APOSTROPHES = [
+    # closing apostrophe, possessive and contracted endings
     (r"([^' ])('[sSmMdD]|')( |$)", r"$1 $2 "),
     (r"([^' ])('ll|'LL|'re|'RE|'ve|'VE|n't|N'T)( |$)", r"$1 $2 "),
-    (r"(?i)\b(d)('ye)\b", r" $1 $2 "),
-    (r"(?i)\b(mor)('n)\b", r" $1 $2 "),
-    (r"(?i) ('t)(is|was)\b", r" $1 $2 "),
+    # words written together
+    (r"(?i)\b(d)('ye)\b|\b(mor)('n)\b| ('t)(is|was)\b", r" $1$3$5 $2$4$6 "),
 ]
-CONTRACTIONS = [
-    (r"(?i)\b(can)(not)\b", r" $1 $2 "),
-    (r"(?i)\b(gim|lem)(me)\b", r" $1 $2 "),
-    (r"(?i)\b(gon|wan)(na)\b", r" $1 $2 "),
-    (r"(?i)\b(got)(ta)\b", r" $1 $2 "),
+AFTER_APOSTROPHES = [
+    (r"(?i)\b(?:(can)(not)|(gim|lem)(me)|(gon|wan)(na)|(got)(ta))\b", r" $1$3$5$7 $2$4$6$8 "),
 ]
-RULES = SENTENCE_END + PUNCTUATION + APOSTROPHES + CONTRACTIONS
+RULES = BEFORE_APOSTROPHES + APOSTROPHES + AFTER_APOSTROPHES
+
+
+def _apply(text: Column, rules) -> Column:
+    for pattern, replacement in rules:
+        text = F.regexp_replace(text, pattern, replacement)
+    return text
 
 
 def word_tokens(text: Column) -> Column:
     """Distinct word tokens of a text, as an array in order of first occurrence."""
-    for pattern, replacement in RULES:
-        text = F.regexp_replace(text, pattern, replacement)
-    words = F.split(text, f"[{WHITESPACE_CHARS}]+")
+    spaced = _apply(text, BEFORE_APOSTROPHES)
+    has_apostrophe = F.contains(text, F.lit("'"))
+    spaced = F.when(has_apostrophe, _apply(spaced, APOSTROPHES)).otherwise(spaced)
+    words = F.split(_apply(spaced, AFTER_APOSTROPHES), f"[{WHITESPACE_CHARS}]+")
     return F.array_distinct(F.filter(words, lambda w: w != ""))

@@ -64,25 +64,22 @@ def key_at_ranks(
     candidates = narrow.join(F.broadcast(wanted), "group")
     below = F.coalesce(F.col("position") < F.col("low"), F.lit(False))
     above = F.coalesce(F.col("position") > F.col("high"), F.lit(False))
-    counted = candidates.groupBy("group", "slot").agg(
-        F.first("rank").alias("rank"), F.first("n").alias("n"), F.count_if(below).alias("below")
+    targets = (
+        candidates.groupBy("group", "slot")
+        .agg(F.first("rank").alias("rank"), F.first("n").alias("n"), F.count_if(below).alias("below"))
+        .withColumn("place", F.col("rank") - F.col("below"))
     )
     order = Window.partitionBy("group", "slot").orderBy("key")
     inside = (
         candidates.where(~below & ~above)
         .select("group", "slot", "key")
-        .withColumn("place", F.row_number().over(order))
+        .withColumn("place", F.row_number().over(order).cast("long"))
     )
-    found = counted.join(
-        inside,
-        (counted.group == inside.group)
-        & (counted.slot == inside.slot)
-        & (counted.rank == inside.place + counted.below),
-        "left",
-    )
-    checked = F.when(
-        inside["key"].isNull(), F.raise_error(F.lit("rank outside its bracket"))
-    ).otherwise(inside["key"])
-    return found.select(
-        counted.group.alias(group), counted.slot, counted["rank"], counted["n"], checked.alias("key")
+    outside = F.raise_error(F.lit("rank outside its bracket"))
+    return targets.join(inside, ["group", "slot", "place"], "left").select(
+        F.col("group").alias(group),
+        "slot",
+        "rank",
+        "n",
+        F.when(F.col("key").isNull(), outside).otherwise(F.col("key")).alias("key"),
     )

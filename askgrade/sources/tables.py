@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from askgrade.constants import BAD_BELOW, GOOD_ABOVE
 from askgrade.operators.datasets import marked, stripped
@@ -36,9 +37,11 @@ def read_posts_by_band(
         bands.append((F.col("score_band") == "neg") & (F.col("Score") < bad_below))
     if good_above >= 0:
         bands.append((F.col("score_band") == "pos") & (F.col("Score") > good_above))
-    posts = spark.read.schema(QUESTION.add("score_band", "string")).parquet(path)
+    schema = T.StructType([*QUESTION.fields, T.StructField("score_band", T.StringType())])
+    posts = spark.read.schema(schema).parquet(path)
     if len(bands) < 2:
-        return posts.where((F.col("Score") < bad_below) | (F.col("Score") > good_above)).drop("score_band")
+        outside = (F.col("Score") < bad_below) | (F.col("Score") > good_above)
+        return posts.where(outside).drop("score_band")
     return posts.where(bands[0] | bands[1]).drop("score_band")
 
 
