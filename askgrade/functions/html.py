@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from askgrade.functions.columns import computed_once
 from askgrade.constants import CODEBLOCK, LINKS, WHITESPACE_CHARS
 
 # Entities replaced inside the JVM; "&amp;" has to be the last one.
@@ -209,23 +210,24 @@ def clean_html(
     ``exact``           send irregular rows to the parser; False stays in the JVM.
     ``compat``          lose an unterminated tail the way the original stripper does.
 
-    The steps are separate projections on purpose: a step that is read twice (by the
-    next step and by the irregularity test) is then computed once per row.
+    Every step is computed once per row although the next step and the irregularity
+    test both read it.
     """
     body = F.col(column)
     if compat and not replaced:
-        return df.withColumn(column, _parser_udf((), unescape_first, False)(body))
+        parsed = df.withColumn("_parsed", _parser_udf((), unescape_first, False)(body))
+        return computed_once(parsed, column, F.col("_parsed")).select(df.columns)
     boundary = " " if replaced else ""
-    steps = df.withColumn("_source", unescape_native(body) if unescape_first else body)
+    steps = computed_once(df, "_source", unescape_native(body) if unescape_first else body)
     marked = F.col("_source")
     if "code" in replaced:
         marked = replace_code(marked)
     if "a" in replaced:
         marked = replace_links(marked)
     if replaced:
-        steps = steps.withColumn("_marked", marked)
+        steps = computed_once(steps, "_marked", marked)
         marked = F.col("_marked")
-    steps = steps.withColumn("_stripped", strip_tags_native(marked, boundary))
+    steps = computed_once(steps, "_stripped", strip_tags_native(marked, boundary))
     text = F.col("_stripped")
     irregular = F.col("_source").rlike(_RAW_TEXT) | text.rlike(_HALF_TAG)
     for name in replaced:
@@ -234,14 +236,14 @@ def clean_html(
         irregular = irregular | marked.rlike(_TAG_INSIDE_PRE)
     irregular = irregular | body.rlike(_OTHER_ENTITY) | text.rlike(_OTHER_ENTITY)
     if replaced and not unescape_first:
-        steps = steps.withColumn("_decoded", unescape_native(text))
-        steps = steps.withColumn("_second", strip_tags_native(F.col("_decoded")))
+        steps = computed_once(steps, "_decoded", unescape_native(text))
+        steps = computed_once(steps, "_second", strip_tags_native(F.col("_decoded")))
         text = F.col("_second")
         irregular = irregular | text.rlike(_HALF_TAG) | text.rlike(_OTHER_ENTITY)
     result = collapse_whitespace(unescape_native(text))
     if exact:
-        steps = steps.withColumn("_irregular", F.coalesce(irregular, F.lit(False)))
+        steps = computed_once(steps, "_irregular", F.coalesce(irregular, F.lit(False)))
         parser = _parser_udf(tuple(replaced), unescape_first, True)
         steps = steps.withColumn("_parsed", parser(F.when(F.col("_irregular"), body)))
         result = F.when(F.col("_irregular"), F.col("_parsed")).otherwise(result)
-    return steps.withColumn(column, result).select(df.columns)
+    return computed_once(steps, column, result).select(df.columns)

@@ -19,6 +19,7 @@ from askgrade.constants import (
     VERSION_NUMBER,
     WORD_CHARS,
 )
+from askgrade.functions.columns import computed_once
 from askgrade.functions.tokens import word_tokens
 
 _W = f"[{WORD_CHARS}]"
@@ -113,17 +114,10 @@ def _mark_listed(df, column, words, possible, marker, match, short_words=True):
     """
     text = F.col(column)
     found = F.when(possible, F.array_intersect(words, word_tokens(text)))
-    return (
-        df.withColumn("_found", found)
-        .withColumn(
-            column,
-            F.when(
-                F.size("_found") > 0,
-                replace_words(text, F.col("_found"), marker, match, short_words),
-            ).otherwise(text),
-        )
-        .drop("_found")
-    )
+    replaced = replace_words(text, F.col("_found"), marker, match, short_words)
+    steps = computed_once(df, "_found", found)
+    done = computed_once(steps, column, F.when(F.size("_found") > 0, replaced).otherwise(text))
+    return done.drop("_found")
 
 
 def mark_attached_tags(
@@ -131,7 +125,7 @@ def mark_attached_tags(
 ) -> DataFrame:
     """T11, first half: the question's own tags become a marker."""
     none = F.array().cast("array<string>")
-    own = df.withColumn("_own_tags", F.coalesce(tag_array(F.col(tags)), none))
+    own = computed_once(df, "_own_tags", F.coalesce(tag_array(F.col(tags)), none))
     tags_column = F.col("_own_tags")
     possible = F.exists(tags_column, lambda t: F.contains(F.col(column), t))
     return _mark_listed(own, column, tags_column, possible, ATTACHED_TAG, match).drop("_own_tags")
@@ -168,7 +162,8 @@ def mark_external_tags(
     marked = F.when(
         F.col("found").isNotNull(), replace_words(text, F.col("found"), EXTERNAL_TAG, match)
     ).otherwise(text)
-    done = texts.join(found.hint("merge"), "Id", "left").select("Id", marked.alias(column))
+    done = computed_once(texts.join(found.hint("merge"), "Id", "left"), column, marked)
+    done = done.select("Id", column)
     return df.drop(column).join(done.hint("merge"), "Id").select(df.columns)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from askgrade.functions.columns import computed_once
 from askgrade.functions.html import clean_html
 from askgrade.functions.markers import (
     mark_assignment,
@@ -41,7 +42,7 @@ def clean(
     df = clean_html(df, "Body", replaced=("code", "a"), exact=exact)
     text = mark_hexadecimal(F.col("Body"))
     text = mark_numeric(mark_version_number(text, version_numbers))
-    df = df.withColumn("Body", text)
+    df = computed_once(df, "Body", text)
     df = mark_attached_tags(df, match=match)
     if not exclude_site_tags:
         df = mark_external_tags(df, site_tags, match=match)
@@ -52,9 +53,10 @@ def clean(
 def prepare_for_scoring(df: DataFrame) -> DataFrame:
     """Lowercase, hexadecimal, numeric, homework, stem; nothing else."""
     text = mark_numeric(mark_hexadecimal(F.lower("Body")))
-    return stemmed(mark_homework(df.withColumn("Body", text)))
+    return stemmed(mark_homework(computed_once(df, "Body", text)))
 
 
 def stemmed(df: DataFrame) -> DataFrame:
     """Body with every whitespace token stemmed."""
-    return df.withColumn("Body", stem_text("Body"))
+    stems = df.withColumn("_stems", stem_text("Body"))
+    return computed_once(stems, "Body", F.col("_stems")).select(df.columns)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from askgrade import constants as C
+from askgrade.functions.columns import computed_once
 from askgrade.functions.html import clean_html
 from askgrade.functions.markers import (
     mark_assignment,
@@ -25,7 +26,7 @@ SINGLE_MARKERS = ("codeblock", "links", "homework", "numeric", "hexadecimal", "t
 
 def stripped(raw: DataFrame, exact: bool = True) -> DataFrame:
     """Text without HTML, lowercased after stripping; ``length`` stays as it was."""
-    return clean(raw, markers=False, exact=exact).withColumn("Body", F.lower("Body"))
+    return computed_once(clean(raw, markers=False, exact=exact), "Body", F.lower("Body"))
 
 
 def marked(
@@ -63,9 +64,9 @@ def single_marker(
     if marker == "homework":
         return mark_assignment(mark_homework(base))
     if marker == "numeric":
-        return base.withColumn("Body", mark_numeric(F.col("Body")))
+        return computed_once(base, "Body", mark_numeric(F.col("Body")))
     if marker == "hexadecimal":
-        return base.withColumn("Body", mark_hexadecimal(F.col("Body")))
+        return computed_once(base, "Body", mark_hexadecimal(F.col("Body")))
     if marker == "tags":
         own = mark_attached_tags(base)
         return own if site_tags is None else mark_external_tags(own, site_tags)
