@@ -39,7 +39,9 @@ def key_at_ranks(
                   ``1..n`` give no row.
     """
     narrow = df.select(
-        F.col(group).alias("group"), F.col(key).alias("key"), F.col(position).alias("position")
+        F.col(group).alias("group"),
+        F.col(key).alias("key"),
+        F.col(position).cast("double").alias("position"),  # as the sketch keeps it
     )
     grid = [i / GRID for i in range(GRID + 1)]
     sizes = narrow.groupBy("group").agg(

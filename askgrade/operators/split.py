@@ -26,7 +26,7 @@ def hash_key(seed: int) -> Column:
 def _last_test_hash(df: DataFrame, seed: int, test_size: float) -> DataFrame:
     """One row: the hash of rank ``ceil(test_size * n)``."""
     hashed = df.select(F.lit(0).alias("all"), hash_key(seed).alias("hash")).withColumn(
-        "position", F.conv(F.substring("hash", 1, 15), 16, 10).cast("long")
+        "position", F.conv(F.substring("hash", 1, 15), 16, 10).cast("double")
     )
     return key_at_ranks(hashed, "all", "hash", "position", lambda n: [F.ceil(n * F.lit(test_size))])
 

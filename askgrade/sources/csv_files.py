@@ -18,6 +18,9 @@ _COMMON = {
     "ignoreTrailingWhiteSpace": "false",
 }
 
+# what a quoted empty field is read as, to tell it from a missing one
+_QUOTED_NOTHING = "\ue000"
+
 
 def write_csv(df: DataFrame, path: str) -> None:
     """Write a data set; the empty string stays different from NULL."""
@@ -26,8 +29,13 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 def read_csv(spark: SparkSession, path: str, schema) -> DataFrame:
     """Read a data set back with its declared schema."""
-    reader = spark.read.schema(schema).options(**_COMMON, multiLine="true")
-    return reader.option("nullValue", "").option("emptyValue", "").csv(path)
+    reader = spark.read.schema(schema).options(**_COMMON, multiLine="true", nullValue="")
+    df = reader.option("emptyValue", _QUOTED_NOTHING).csv(path)
+    texts = [f.name for f in df.schema if f.dataType.typeName() == "string"]
+    restored = {
+        t: F.when(F.col(t) == _QUOTED_NOTHING, F.lit("")).otherwise(F.col(t)) for t in texts
+    }
+    return df.withColumns(restored)
 
 
 def read_labelled_csv(spark: SparkSession, path: str) -> DataFrame:
