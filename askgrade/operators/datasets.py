@@ -20,6 +20,7 @@ from askgrade.functions.markers import (
 )
 from askgrade.operators.clean import clean
 from askgrade.operators.questions import with_length
+from askgrade.session import materialise
 
 SINGLE_MARKERS = ("codeblock", "links", "homework", "numeric", "hexadecimal", "tags")
 
@@ -94,11 +95,14 @@ def has_any_marker(markers: list[str], padded: bool = False) -> Column:
 
 
 def extraction_pair(
-    stripped_set: DataFrame, marked_set: DataFrame, markers: list[str], padded: bool = False
+    raw: DataFrame, marked_set: DataFrame, markers: list[str], padded: bool = False
 ) -> tuple[DataFrame, DataFrame]:
-    """Rows having one of the markers, in marked and in stripped form."""
-    kept = marked_set.where(has_any_marker(markers, padded))
-    return kept, stripped_set.join(kept.select("Id"), "Id", "left_semi")
+    """Rows having one of the markers, in marked and in stripped form.
+
+    The kept rows are written once; only their raw counterparts are then cleaned.
+    """
+    kept = materialise(marked_set.where(has_any_marker(markers, padded)), "kept")
+    return kept, stripped(raw.join(kept.select("Id"), "Id", "left_semi"))
 
 
 # --- fixed values: the extraction sets and the markers that select their rows

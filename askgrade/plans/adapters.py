@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from askgrade.schemas import QUESTION
+from askgrade.sources.tables import spread
 
 # --- fixed values: how a document number decides score and inserted markup
 SCORE_STEP, SCORE_RANGE, SCORE_SHIFT = 7919, 241, 60
@@ -20,6 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose text columns get worked on, spread over the cores."""
+    return spread(table(spark, sf_dir, name))
+
+
 def _every(n: int, *parts) -> Column:
     pieces = [F.lit(p) if isinstance(p, str) else p for p in parts]
     return F.when(F.col("doc_id") % n == 0, F.concat(*pieces)).otherwise(F.lit(""))
@@ -56,12 +62,12 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = [
         derived.get(f.name, F.lit(None).cast(f.dataType)).alias(f.name) for f in QUESTION.fields
     ]
-    return table(spark, sf_dir, "documents").select(*columns)
+    return texts(spark, sf_dir, "documents").select(*columns)
 
 
 def site_tags(spark: SparkSession, sf_dir: str, n: int = 50) -> DataFrame:
     """The ``n`` terms found in most documents, ties in alphabetical order."""
-    terms = table(spark, sf_dir, "documents").select(
+    terms = texts(spark, sf_dir, "documents").select(
         F.explode(
             F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))
         ).alias("TagName")
@@ -86,6 +92,6 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def html_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Web pages as (Id, Body)."""
-    return table(spark, sf_dir, "pages").select(
+    return texts(spark, sf_dir, "pages").select(
         F.col("page_id").alias("Id"), F.col("html").alias("Body")
     )

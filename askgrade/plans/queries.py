@@ -264,7 +264,7 @@ def o2_tags_longest_first(spark, d):
 def j1_stripped_half_of_pair(spark, d):
     source = raw(spark, d)
     _, plain = datasets.extraction_pair(
-        datasets.stripped(source), datasets.single_marker(source, "numeric"), [C.NUMERIC]
+        source, datasets.single_marker(source, "numeric"), [C.NUMERIC]
     )
     return _body(plain)
 
@@ -333,7 +333,7 @@ def t4_strip_losing_tails(spark, d):
 
 @query
 def t5_collapse_whitespace(spark, d):
-    text = adapters.table(spark, d, "documents")
+    text = adapters.texts(spark, d, "documents")
     return text.select("doc_id", html.collapse_whitespace(F.col("text")).alias("text"))
 
 
@@ -399,7 +399,7 @@ def t13_assignment_marker(spark, d):
 @query
 def t14_version_marker(spark, d):
     text = F.concat(F.lit("version "), F.col("doc_id").cast("string"), F.lit(": "), F.col("text"))
-    documents = adapters.table(spark, d, "documents")
+    documents = adapters.texts(spark, d, "documents")
     return documents.select(
         "doc_id",
         markers.mark_version_number(text, enabled=True).alias("on"),
@@ -409,7 +409,7 @@ def t14_version_marker(spark, d):
 
 @query
 def t15_stemmed_text(spark, d):
-    return adapters.table(spark, d, "documents").select("doc_id", stem_text("text").alias("text"))
+    return adapters.texts(spark, d, "documents").select("doc_id", stem_text("text").alias("text"))
 
 
 @query
@@ -478,14 +478,13 @@ def d4_all_single_marker_sets(spark, d):
 
 def _pairs(spark, d, names):
     source = raw(spark, d)
-    plain = datasets.stripped(source)
     parts = None
     for name in names:
         if name == "all":
             with_marker = datasets.marked(source, exclude_site_tags=True, exclude_assignment=True)
         else:
             with_marker = datasets.single_marker(source, name)
-        halves = datasets.extraction_pair(plain, with_marker, datasets.EXTRACTION_SETS[name])
+        halves = datasets.extraction_pair(source, with_marker, datasets.EXTRACTION_SETS[name])
         for half, data in zip(("marked", "stripped"), halves):
             part = data.select(F.lit(name).alias("set"), F.lit(half).alias("half"), "Id", "Body")
             parts = part if parts is None else parts.unionByName(part)
@@ -624,7 +623,7 @@ EXAMPLES = [
 def _quality(spark, d):
     """Labelled documents as training data: a class that the text does decide."""
     truth = adapters.predictions(spark, d).select("Id", "label")
-    text = adapters.table(spark, d, "documents").select(F.col("doc_id").alias("Id"), "text")
+    text = adapters.texts(spark, d, "documents").select(F.col("doc_id").alias("Id"), "text")
     return text.join(truth, "Id").select("Id", "label", F.lower("text").alias("Body"))
 
 
@@ -696,7 +695,7 @@ def _trained(spark, d, data=None, **options) -> search.Trained:
 @query
 def m9_m13_score_questions(spark, d):
     model = _trained(spark, d).search.model
-    asked = adapters.table(spark, d, "conversations").where("role = 'user'").select(
+    asked = adapters.texts(spark, d, "conversations").where("role = 'user'").select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("Id"), F.col("text").alias("Body")
     )
     examples = spark.createDataFrame([(i, b) for i, _, b in EXAMPLES], "Id long, Body string")
@@ -732,7 +731,7 @@ def m12_train_on_stemmed_marked_set(spark, d):
 def m14_score_stream(spark, d):
     model = _trained(spark, d).search.model
     folder = new_path(spark, "stream")
-    asked = adapters.table(spark, d, "conversations").where("role = 'user'").select(
+    asked = adapters.texts(spark, d, "conversations").where("role = 'user'").select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("Id"), F.col("text").alias("Body")
     )
     asked.write.parquet(f"{folder}/in")

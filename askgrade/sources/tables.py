@@ -12,6 +12,16 @@ from askgrade.operators.questions import labelled_questions
 from askgrade.schemas import QUESTION
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores when a table comes in fewer pieces than there are cores.
+
+    A file with one row group is read by one task, and everything up to the next
+    shuffle stays in it. Tables in many pieces, large ones, are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def score_band(score: Column) -> Column:
     """Directory value for partition pruning: negative, unvoted or positive."""
     return F.when(score < 0, "neg").when(score > 0, "pos").otherwise("mid")
