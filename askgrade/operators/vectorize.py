@@ -26,7 +26,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from askgrade.constants import MAX_DF, MIN_DF, WORD_CHARS
+from askgrade.constants import ENGLISH_STOP_WORDS, MAX_DF, MIN_DF, WORD_CHARS
 
 TERM = f"[{WORD_CHARS}]{{2,}}"
 MAX_MODEL_TERMS = 1 << 22
@@ -47,7 +47,7 @@ class FeatureSpec:
 
 def english_stop_words() -> tuple[str, ...]:
     """V2: Spark's English list; pass another list to use it instead."""
-    return tuple(StopWordsRemover.loadDefaultStopWords("english"))
+    return tuple(ENGLISH_STOP_WORDS)
 
 
 def terms(text: Column, stop_words: tuple[str, ...] | None = None) -> Column:

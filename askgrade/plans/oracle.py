@@ -7,13 +7,7 @@ joins instead of in-row expressions.
 
 from __future__ import annotations
 
-import glob
-import os
-import zipfile
-
-import pyspark
-
-from askgrade.constants import ASSIGNMENT_WORDS, HOMEWORK_WORDS
+from askgrade.constants import ASSIGNMENT_WORDS, ENGLISH_STOP_WORDS, HOMEWORK_WORDS
 from askgrade.functions.markers import noun_forms
 from askgrade.functions.tokens import RULES
 
@@ -28,13 +22,6 @@ def _list(words) -> str:
     return "[" + ", ".join(_literal(w) for w in words) + "]"
 
 
-def _stop_words() -> list[str]:
-    """The list that ships with Spark, read from its archive."""
-    jars = os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar")
-    with zipfile.ZipFile(glob.glob(jars)[0]) as archive:
-        return archive.read("org/apache/spark/ml/feature/stopwords/english.txt").decode().split()
-
-
 def _replace_all(x: str, pattern: str, replacement: str, flags: str = "g") -> str:
     return f"regexp_replace({x}, {_literal(pattern)}, {_literal(replacement)}, '{flags}')"
 
@@ -342,7 +329,7 @@ _add("v1_terms", """select Id, cast(len(l) as integer) as terms, md5(array_to_st
   from doc_terms""")
 _add("v2_terms_without_stop_words", f"""select Id, cast(len(l) as integer) as terms,
     md5(array_to_string(l, ' ')) as digest
-  from (select Id, list_filter(l, lambda w: not list_contains({_list(_stop_words())}, w)) as l from doc_terms)""")
+  from (select Id, list_filter(l, lambda w: not list_contains({_list(ENGLISH_STOP_WORDS)}, w)) as l from doc_terms)""")
 _add("v3_term_counts", "select Id, term, tf from tf")
 _add("v4_vocabulary", "select term, df, n from vocabulary where df >= 0.01::double * n and df <= 0.95::double * n")
 _add("v5_smooth_idf", "select term, round(ln((n + 1) / (df + 1)) + 1, 6) as idf from vocabulary")
@@ -351,7 +338,7 @@ _add("v5_smooth_idf", "select term, round(ln((n + 1) / (df + 1)) + 1, 6) as idf
 def _weights(low, high, idf=True, norm="l2", twice=False, stop=False) -> str:
     weight = "ln((n + 1) / (df + 1)) + 1" if idf else "1.0"
     total = {"l1": "sum(abs({v})) over (partition by Id)", "l2": "sqrt(sum({v} * {v}) over (partition by Id))"}[norm]
-    without = f" and not list_contains({_list(_stop_words())}, term)" if stop else ""
+    without = f" and not list_contains({_list(ENGLISH_STOP_WORDS)}, term)" if stop else ""
     once = f"""w0 as (select Id, term, {weight} as w, tf * ({weight}) as v from tf join vocabulary using (term)
       where df >= {low}::double * n and df <= {high}::double * n{without}),
     w1 as (select Id, term, w, v / {total.format(v='v')} as v from w0)"""
