@@ -89,9 +89,12 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def text_slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Pieces of a batch with about SLICE_BYTES of text: rows, bytes, byte offsets of the rows."""
-    texts = batch.column(column).cast(pa.large_binary())
+def text_slices(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Pieces of a string array with about SLICE_BYTES each (a longer text is a piece of its own):
+    first row, end row, bytes, byte offsets of the rows in them. Nulls count as empty."""
+    if isinstance(texts, pa.ChunkedArray):
+        texts = texts.combine_chunks()
+    texts = texts.fill_null("").cast(pa.large_string())
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     data = texts.buffers()[2]
     data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
@@ -99,7 +102,7 @@ def text_slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[p
     while row < len(texts):
         end = int(np.searchsorted(offsets, offsets[row] + SLICE_BYTES, "right")) - 1
         end = min(max(end, row + 1), len(texts))
-        yield batch.slice(row, end - row), data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
+        yield row, end, data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
         row = end
 
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from askgrade.llm import exact_dedup, raking, spot_signatures
+from askgrade.llm import exact_dedup, licenses, raking, rule_ensemble, spot_signatures
 from askgrade.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +36,21 @@ def op2_mix_to_target_weights(spark, sf_dir):
     return raking.mixed_sample(documents(spark, sf_dir))
 
 
+@_query
+def op4_license_scan(spark, sf_dir):
+    return licenses.scan(documents(spark, sf_dir)).select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score",
+        F.array_join("expressions", "; ").alias("expressions"), "permitted",
+    )
+
+
+@_query
+def op5_rule_ensemble(spark, sf_dir):
+    return rule_ensemble.classify(
+        documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    )
+
+
 @_query
 def op8_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_duplicates(documents(spark, sf_dir))
