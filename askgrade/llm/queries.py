@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from askgrade.llm import class_lm, exact_dedup, licenses, raking, rule_ensemble, spot_signatures
+from askgrade.llm import class_lm, exact_dedup, jaccard_join, licenses, raking, rule_ensemble, spot_signatures
 from askgrade.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,6 +56,11 @@ def op8_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_duplicates(documents(spark, sf_dir))
 
 
+@_query
+def op9_jaccard_join(spark, sf_dir):
+    return jaccard_join.linked(documents(spark, sf_dir))
+
+
 @_query
 def op10_class_lm(spark, sf_dir):
     return class_lm.scored(documents(spark, sf_dir))
