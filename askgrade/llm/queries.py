@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from askgrade.llm import class_lm, exact_dedup, jaccard_join, licenses, raking, rule_ensemble, spot_signatures
+from askgrade.llm import class_lm, exact_dedup, jaccard_join, licenses, packing, raking, rule_ensemble, spot_signatures
 from askgrade.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +36,11 @@ def op2_mix_to_target_weights(spark, sf_dir):
     return raking.mixed_sample(documents(spark, sf_dir))
 
 
+@_query
+def op3_best_fit_packing(spark, sf_dir):
+    return packing.packed(documents(spark, sf_dir))
+
+
 @_query
 def op4_license_scan(spark, sf_dir):
     return licenses.scan(documents(spark, sf_dir)).select(
