@@ -89,7 +89,9 @@ def compare_with_next(documents: DataFrame) -> DataFrame:
         F.xxhash64("text", F.isnull("doc_id")).alias("h"),
         "text",
     )
-    narrow = rows.select("k", "h", F.length("text").alias("n")).distinct()
+    narrow = rows.groupBy("k", "h").agg(
+        F.first(F.length("text")).alias("n"), F.first("doc_id").alias("doc_id"), F.count("*").cast("int").alias("copies")
+    )
     ranked = numbered(narrow, ["k", "h"], "rank")
     total = ranked.agg(F.count("*").alias("total"))
     ranked = ranked.join(F.broadcast(total))  # one row
@@ -99,10 +101,9 @@ def compare_with_next(documents: DataFrame) -> DataFrame:
         F.col("h").alias("prev_h"),
         F.floor(F.col("n") / 4).cast("int").alias("wanted"),
     )
-    neighbours = ranked.select("k", "h", "rank").join(previous, "rank").drop("rank")
-    texts = rows.groupBy("k", "h").agg(
-        F.first("text").alias("text"), F.first("doc_id").alias("doc_id"), F.count("*").cast("int").alias("copies")
-    )
+    neighbours = ranked.select("k", "h", "doc_id", "copies", "rank").join(previous, "rank").drop("rank")
+    # both readers need the same columns of this, so the shuffle of the texts is made once
+    texts = rows.groupBy("k", "h").agg(F.first("text").alias("text"))
     here = with_signatures(texts.join(neighbours, ["k", "h"]), "text", "signatures")
     sent = here.select(
         F.col("prev_k").alias("k"),
