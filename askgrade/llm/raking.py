@@ -78,6 +78,31 @@ def draw(doc_id: Column, seed: int = SEED) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
 
 
+def _cell_of_document() -> list[Column]:
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return [
+        F.coalesce(F.col("source").cast("string"), F.lit("(none)")).alias("source"),
+        F.coalesce(F.col("lang").cast("string"), F.lit("(none)")).alias("lang"),
+        topic_of(text).alias("topic"),
+    ]
+
+
+def _tokens() -> Column:
+    return n_words(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("n_tokens")
+
+
+def cell_probabilities(
+    rows: DataFrame, targets: Mapping[str, float | Mapping[str, float]] = TEMPERATURES, sweeps: int = SWEEPS
+) -> DataFrame:
+    """``source, lang, topic, weight, probability`` from ``rows`` with the dimensions and ``n_tokens``."""
+    cells = materialise(rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")), "mix-cells")
+    weights = materialise(raked(cells, targets, sweeps), "mix-weights")
+    rate = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens"))
+    top = weights.agg(F.max(rate)).first()[0]  # one number
+    keep = F.when(F.col("tokens") > 0, rate / F.lit(top)).otherwise(1.0)
+    return weights.select(*DIMENSIONS, "weight", keep.alias("probability"))
+
+
 def mixed_sample(
     documents: DataFrame,
     targets: Mapping[str, float | Mapping[str, float]] = TEMPERATURES,
@@ -90,25 +115,25 @@ def mixed_sample(
     Documents without tokens weigh nothing and are in the sample with probability 1. An empty
     table gives an empty result. ``weight`` is the raked share of the document's cell.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
     rows = materialise(
-        documents.select(
-            F.col("doc_id").cast("long").alias("doc_id"),
-            F.coalesce("source", F.lit("(none)")).alias("source"),
-            F.coalesce("lang", F.lit("(none)")).alias("lang"),
-            topic_of(text).alias("topic"),
-            n_words(text).alias("n_tokens"),
-        ),
-        "mix-rows",
+        documents.select(F.col("doc_id").cast("long").alias("doc_id"), *_cell_of_document(), _tokens()), "mix-rows"
     )
-    cells = materialise(rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")), "mix-cells")
-    weights = materialise(raked(cells, targets, sweeps), "mix-weights")
-    rate = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens"))
-    top = weights.agg(F.max(rate)).first()[0]  # one number
-    keep = F.when(F.col("tokens") > 0, rate / F.lit(top)).otherwise(1.0)
-    weights = weights.select(*DIMENSIONS, "weight", keep.alias("probability"))
+    weights = cell_probabilities(rows, targets, sweeps)
     return rows.join(weights, list(DIMENSIONS)).select(
         "doc_id", *DIMENSIONS, "n_tokens", F.round("weight", 6).alias("weight"),
         F.round("probability", 6).alias("probability"),
         (draw(F.col("doc_id"), seed) < F.col("probability")).alias("sampled"),
     )
+
+
+def sample(docs: DataFrame, targets: Mapping[str, float | Mapping[str, float]] = TEMPERATURES, seed: int = SEED) -> DataFrame:
+    """The sampled rows of ``docs``, with all their columns."""
+    weights = cell_probabilities(docs.select(*_cell_of_document(), _tokens()), targets)
+    cell = F.struct(*DIMENSIONS)
+    weights = weights.select(cell.alias("__llm_cell"), F.col("probability").alias("__llm_keep"))
+    return (
+        docs.withColumn("__llm_cell", F.struct(*_cell_of_document()))
+        .join(weights, "__llm_cell")
+        .where(draw(F.col("doc_id"), seed) < F.col("__llm_keep"))
+        .select(docs.columns)
+    )

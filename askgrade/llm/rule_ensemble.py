@@ -94,7 +94,7 @@ def _statistics(texts: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(table[:, i].astype(float)) for i in range(len(STATISTICS))], STATISTICS)
 
 
-def with_statistics(df: DataFrame, text: str = "text", name: str = "_stats") -> DataFrame:
+def with_statistics(df: DataFrame, text: str = "text", name: str = "__llm_stats") -> DataFrame:
     """``df`` with a struct of the text's statistics; a null text is empty, with zeros."""
     kind = "struct<" + ",".join(f"{x}:double" for x in STATISTICS) + ">"
     counted = F.arrow_udf(_statistics, kind)
@@ -120,7 +120,7 @@ class Ensemble:
     bias: float
     rules: tuple[tuple[Rule, float], ...]
 
-    def score(self, struct: str = "_stats") -> Column:
+    def score(self, struct: str = "__llm_stats") -> Column:
         margin = F.lit(self.bias)
         for rule, weight in self.rules:
             margin += F.when(rule.column(struct), weight).otherwise(0.0)
@@ -176,7 +176,7 @@ def fit(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_FIT_ROWS) -
         .limit(max_rows)
     )
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    known = with_statistics(texts.join(F.broadcast(sample), "doc_id")).select("label", "_stats.*")
+    known = with_statistics(texts.join(F.broadcast(sample), "doc_id")).select("label", "__llm_stats.*")
     rows = known.sparkSession.createDataFrame(known.toPandas(), known.schema).cache()
     try:
         n, good = rows.agg(F.count("*"), F.sum("label")).first()
@@ -189,8 +189,8 @@ def fit(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_FIT_ROWS) -
         rules = paths(forest.toDebugString)
         if not rules:
             return Ensemble(float(np.log(good / (n - good))), ())
-        held = rows.select("label", F.struct(*STATISTICS).alias("_stats"))
-        held = held.select("label", *[r.column("_stats").cast("double").alias(f"r{i}") for i, r in enumerate(rules)])
+        held = rows.select("label", F.struct(*STATISTICS).alias("__llm_stats"))
+        held = held.select("label", *[r.column("__llm_stats").cast("double").alias(f"r{i}") for i, r in enumerate(rules)])
         held = VectorAssembler(inputCols=[f"r{i}" for i in range(len(rules))], outputCol="features").transform(held)
         lasso = LogisticRegression(
             labelCol="label", regParam=LASSO, elasticNetParam=1.0, maxIter=60, aggregationDepth=2
@@ -202,13 +202,13 @@ def fit(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_FIT_ROWS) -
 
 
 def scored(df: DataFrame, labels: DataFrame, max_rows: int = MAX_FIT_ROWS) -> DataFrame:
-    """``df`` with ``_score``."""
-    return with_statistics(df).withColumn("_score", fit(df, labels, max_rows).score()).drop("_stats")
+    """``df`` with ``__llm_score``."""
+    return with_statistics(df).withColumn("__llm_score", fit(df, labels, max_rows).score()).drop("__llm_stats")
 
 
 def classify(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_FIT_ROWS) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for every row, repeated ones too."""
-    score = F.col("_score")
+    score = F.col("__llm_score")
     return scored(documents.select("doc_id", "text"), labels, max_rows).select(
         F.col("doc_id").cast("long").alias("doc_id"),
         held_out(F.col("doc_id")).alias("held_out"),
@@ -219,4 +219,4 @@ def classify(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_FIT_RO
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not rejected, with all their columns."""
-    return scored(docs, labels).where(F.col("_score") >= THRESHOLD).drop("_score")
+    return scored(docs, labels).where(F.col("__llm_score") >= THRESHOLD).drop("__llm_score")
