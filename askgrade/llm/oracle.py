@@ -28,7 +28,7 @@ with r as (select doc_id, coalesce(source, '(none)') as source, coalesce(lang, '
     len(regexp_extract_all(t, '[^ \t\n\x0B\f\r]+')) as n_tokens
   from (select *, coalesce(text, '') as t from documents)),
 c as (select source, lang, topic, sum(n_tokens)::bigint as tokens from r group by all)"""
-    power = {"source": 0.5, "lang": 0.7, "topic": 0.7}
+    power = {"source": 0.7, "lang": 0.8, "topic": 0.8}
     for dim, p in power.items():
         sql += f""",
 m_{dim} as (select {dim}, pow(sum(tokens)::double, {p}) as raw from c group by {dim}),
@@ -44,9 +44,17 @@ w0 as (select *, tokens::double as weight
     return (
         sql
         + f""",
+q as (select *, case when tokens > 0 then weight / tokens else 0 end as rate from w{n}),
+f as (select rate, (0.8::double * sum(tokens) over ()
+      - coalesce(sum(tokens) over (order by rate desc, source, lang, topic
+          rows between unbounded preceding and 1 preceding), 0))
+    / sum(weight) over (order by rate desc, source, lang, topic
+        rows between current row and unbounded following) as scale
+  from q where rate > 0),
 p as (select source, lang, topic, weight,
-    case when tokens > 0 then (weight / tokens) / (select max(weight / tokens) from w{n} where tokens > 0)
-      else 1.0::double end as probability from w{n})
+    case when rate > 0 then least(1.0::double,
+        rate * (select max_by(scale, rate) from f where scale * rate <= 1 + 1e-9))
+      else case when tokens > 0 then 0.0::double else 1.0::double end end as probability from q)
 select doc_id, source, lang, topic, n_tokens, round(weight, 6) as weight,
   round(probability, 6) as probability,
   ('0x' || substr(md5(coalesce(doc_id::varchar, 'null') || ':0'), 1, 8))::bigint / 4294967296.0::double

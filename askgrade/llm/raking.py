@@ -2,9 +2,10 @@
 
 Token counts are summed into cells (source, language, topic). The cells' weights are raked to
 the target share of every value of one dimension after the other, in several sweeps. The final
-weight of a cell over its tokens, scaled so that the largest is 1, is the probability with
-which each of its documents is kept. A document's draw is a hash of its id, so a run can be
-repeated and a larger weight never drops what a smaller one kept.
+weight of a cell over its tokens is its rate. Rates are scaled to probabilities so that ``KEEP``
+of all tokens is expected to stay; where that makes more than 1, all of the cell stays and the
+others share the rest. A document's draw is a hash of its id, so a run can be repeated and a
+larger weight never drops what a smaller one kept.
 
 Only the cells, one row for each combination of values, take part in the sweeps.
 """
@@ -20,7 +21,8 @@ from askgrade.session import materialise
 
 DIMENSIONS = ("source", "lang", "topic")
 #: Targets of the registered query: each share of tokens to the power of this, made to sum to 1.
-TEMPERATURES = {"source": 0.5, "lang": 0.7, "topic": 0.7}
+TEMPERATURES = {"source": 0.7, "lang": 0.8, "topic": 0.8}
+KEEP = 0.8
 SWEEPS = 6
 SEED = 0
 
@@ -92,15 +94,28 @@ def _tokens() -> Column:
 
 
 def cell_probabilities(
-    rows: DataFrame, targets: Mapping[str, float | Mapping[str, float]] = TEMPERATURES, sweeps: int = SWEEPS
+    rows: DataFrame,
+    targets: Mapping[str, float | Mapping[str, float]] = TEMPERATURES,
+    sweeps: int = SWEEPS,
+    keep: float = KEEP,
 ) -> DataFrame:
     """``source, lang, topic, weight, probability`` from ``rows`` with the dimensions and ``n_tokens``."""
     cells = materialise(rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")), "mix-cells")
     weights = materialise(raked(cells, targets, sweeps), "mix-weights")
-    rate = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens"))
-    top = weights.agg(F.max(rate)).first()[0]  # one number
-    keep = F.when(F.col("tokens") > 0, rate / F.lit(top)).otherwise(1.0)
-    return weights.select(*DIMENSIONS, "weight", keep.alias("probability"))
+    rate = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(0.0)
+    weights = weights.withColumn("rate", rate)
+    # if the cells before one in the order of rates stay whole, this scale spends what is left
+    every = Window.partitionBy(F.lit(0)).orderBy(F.desc("rate"), *DIMENSIONS)  # the cells
+    before, onward = every.rowsBetween(Window.unboundedPreceding, -1), every.rowsBetween(0, Window.unboundedFollowing)
+    whole = every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    left = F.lit(keep) * F.sum("tokens").over(whole) - F.coalesce(F.sum("tokens").over(before), F.lit(0))
+    scales = weights.where("rate > 0").select("rate", (left / F.sum("weight").over(onward)).alias("scale"))
+    fits = scales.where(F.col("scale") * F.col("rate") <= 1 + 1e-9)
+    scale = fits.agg(F.max_by("scale", "rate")).first()[0]  # one number
+    part = F.when(F.col("rate") > 0, F.least(F.lit(1.0), F.col("rate") * F.lit(scale))).otherwise(
+        F.when(F.col("tokens") > 0, 0.0).otherwise(1.0)
+    )
+    return weights.select(*DIMENSIONS, "weight", part.alias("probability"))
 
 
 def mixed_sample(
