@@ -9,7 +9,9 @@
    share no rare shingle, they differ in fewer frequent ones than a set has groups when its
    frequent shingles are dealt by hash into one group more than the largest difference; so one
    group, a combination of several shingles, is the same in both, and the index holds these.
-4. Candidates are verified on whole sets. A first round links every set with two neighbours of
+4. Candidates whose sizes, or whose bitmaps of ``BITS`` parities, show a difference beyond the limit
+   go; the bitmaps of two sets differ in no more places than the sets. The others are verified
+   on whole sets. A first round links every set with two neighbours of
    each posting; a second verifies the remaining pairs that are still in different components,
    since pairs within a component cannot change it. So groups of thousands of near copies do
    not make all their pairs.
@@ -23,7 +25,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from askgrade.llm.common import mixed, small_batches, text_slices, whole_texts, word_hashes
@@ -35,6 +37,7 @@ CLASS_BITS = 22
 CHUNKS = 64
 LEAST = 10  # sets below this size differ too much from every other set
 SALTS = 64
+BITS = 512
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -71,7 +74,17 @@ def _token_class(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - CLASS_BITS)).astype(np.int64)
 
 
-_COUNTED = "doc_id long, n long, k1 long, k2 long, chunk int, counts binary"
+def _bitmaps(hashes: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """For each set, the parity of its hashes in each of BITS places, as a list of longs."""
+    n = len(bounds) - 1
+    owner = np.repeat(np.arange(n), np.diff(bounds))
+    place = owner * BITS + (hashes % np.uint64(BITS)).astype(np.int64)
+    parity = (np.bincount(place, minlength=n * BITS) & 1).astype(bool).reshape(n, BITS)
+    longs = np.packbits(parity, axis=1).view(np.int64)
+    return pa.ListArray.from_arrays(np.arange(0, n * BITS // 64 + 1, BITS // 64, dtype=np.int32), pa.array(longs.reshape(-1)))
+
+
+_COUNTED = "doc_id long, n long, k1 long, k2 long, bits array<long>, chunk int, counts binary"
 
 
 def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,16 +99,20 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id").slice(lo, m), pa.array(np.diff(bounds)), pa.array(k1.view(np.int64)),
-                    pa.array(k2.view(np.int64)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()),
+                    pa.array(k2.view(np.int64)), _bitmaps(hashes, bounds), pa.nulls(m, pa.int32()),
+                    pa.nulls(m, pa.binary()),
                 ],
-                ["doc_id", "n", "k1", "k2", "chunk", "counts"],
+                ["doc_id", "n", "k1", "k2", "bits", "chunk", "counts"],
             )
     if any_:
         pieces = [zlib.compress(x.tobytes(), 1) for x in np.split(total.astype(np.int32), CHUNKS)]
         empty = pa.nulls(CHUNKS, pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [empty, empty, empty, empty, pa.array(np.arange(CHUNKS, dtype=np.int32)), pa.array(pieces, pa.binary())],
-            ["doc_id", "n", "k1", "k2", "chunk", "counts"],
+            [
+                empty, empty, empty, empty, pa.nulls(CHUNKS, pa.list_(pa.int64())),
+                pa.array(np.arange(CHUNKS, dtype=np.int32)), pa.array(pieces, pa.binary()),
+            ],
+            ["doc_id", "n", "k1", "k2", "bits", "chunk", "counts"],
         )
 
 
@@ -209,9 +226,28 @@ def _set_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _sizes_fit(n: str, m: str) -> Column:
+    return (F.col(n) * 10 >= F.col(m) * 9) & (F.col(m) * 10 >= F.col(n) * 9)
+
+
+def _rare_fit() -> Column:
+    """Partners that share a combination only have no rare shingle in common."""
+    return ~F.col("combined") | (F.col("r") + F.col("q") <= F.floor((F.col("n") + F.col("m")) / 19))
+
+
 def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (``a, b``) that are links. Sets are made again from the texts of candidates only."""
-    pairs = materialise(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "jaccard-pairs")
+    pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    first = nodes.select(F.col("node").alias("a"), F.col("n").alias("n1"), F.col("bits").alias("bits1"))
+    second = nodes.select(F.col("node").alias("b"), F.col("n").alias("n2"), F.col("bits").alias("bits2"))
+    unlike = F.zip_with("bits1", "bits2", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    places = F.aggregate(unlike, F.lit(0), lambda x, y: x + y)
+    pairs = (
+        pairs.join(first, "a").join(second, "b")
+        .where(_sizes_fit("n1", "n2") & (places <= F.floor((F.col("n1") + F.col("n2")) / 19)))
+        .select("a", "b")
+    )
+    pairs = materialise(pairs, "jaccard-pairs")
     ends = materialise(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "jaccard-ends")
     sets = (
         small_batches(texts.join(small_side(ends), "doc_id"))
@@ -243,10 +279,13 @@ def linked(documents: DataFrame) -> DataFrame:
     """
     texts = whole_texts(documents)
     counted = materialise(small_batches(texts).mapInArrow(_count, _COUNTED), "jaccard-counted")
-    docs = counted.where("chunk is null").select("doc_id", "n", "k1", "k2")
+    docs = counted.where("chunk is null").select("doc_id", "n", "k1", "k2", "bits")
     linkable = docs.where("n > 0 and doc_id is not null")
     nodes = materialise(
-        linkable.groupBy("k1", "k2").agg(F.min("doc_id").alias("node")), "jaccard-nodes"
+        linkable.groupBy("k1", "k2").agg(
+            F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("bits").alias("bits")
+        ),
+        "jaccard-nodes",
     )
     shared = texts.sparkSession.sparkContext.broadcast(frequent_classes(counted))
     with_ids = texts.where("doc_id is not null")
@@ -258,33 +297,41 @@ def linked(documents: DataFrame) -> DataFrame:
     order = Window.partitionBy("sig", "salt").orderBy("n", "k1", "k2")
     near = postings.withColumn("salt", salt).select(
         "*", F.row_number().over(order).alias("nth"),
-        F.lag(F.struct("k1", "k2")).over(order).alias("before"), F.lead("k1").over(order).alias("next"),
-        F.first(F.struct("k1", "k2")).over(order).alias("head"),
+        F.lag(F.struct("k1", "k2", "n", "r")).over(order).alias("before"), F.lead("k1").over(order).alias("next"),
+        F.first(F.struct("k1", "k2", "n", "r")).over(order).alias("head"),
     )
     near = materialise(near.where("combined or nth > 1 or next is not null").drop("next"), "jaccard-postings")
     heads = near.where("combined and nth = 1")
     of_heads = Window.partitionBy("sig").orderBy("n", "k1", "k2")  # SALTS rows at most
-    heads = heads.select("k1", "k2", F.lag(F.struct("k1", "k2")).over(of_heads).alias("other"))
+    heads = heads.select(
+        "combined", "k1", "k2", "n", "r", F.lag(F.struct("k1", "k2", "n", "r")).over(of_heads).alias("other")
+    )
     first = (
-        near.select("k1", "k2", F.explode(F.array("before", "head")).alias("other")).union(heads)
-        .where("other is not null").select("k1", "k2", F.col("other.k1").alias("o1"), F.col("other.k2").alias("o2")).distinct()
-    )
-    first = first.join(nodes, ["k1", "k2"]).select(F.col("node").alias("a"), "o1", "o2")
-    first = first.join(nodes.select("node", F.col("k1").alias("o1"), F.col("k2").alias("o2")), ["o1", "o2"])
+        near.select("combined", "k1", "k2", "n", "r", F.explode(F.array("before", "head")).alias("other"))
+        .union(heads)
+        .where("other is not null")
+        .select("combined", "k1", "k2", "n", "r", *[F.col(f"other.{x}").alias(y) for x, y in zip(("k1", "k2", "n", "r"), ("o1", "o2", "m", "q"))])
+        .where(_sizes_fit("n", "m") & _rare_fit())
+        .where("k1 <> o1 or k2 <> o2")
+        .select("k1", "k2", "o1", "o2")
+        .distinct()
+    )
+    keys = nodes.select("k1", "k2", "node")
+    first = first.join(keys, ["k1", "k2"]).select(F.col("node").alias("a"), F.col("o1").alias("k1"), F.col("o2").alias("k2"))
+    first = first.join(keys, ["k1", "k2"])
     links = materialise(_verified(first.select("a", F.col("node").alias("b")), nodes, texts), "jaccard-links")
     found = components(links)
-    rest = near.join(nodes, ["k1", "k2"]).select("sig", "combined", "n", "r", "node")
+    rest = near.select("sig", "combined", "n", "r", "k1", "k2").join(keys, ["k1", "k2"])
+    rest = rest.select("sig", "combined", "n", "r", "node")
     rest = rest.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_ = rest.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
     rest = materialise(rest.join(open_.select("sig"), "sig", "left_semi").distinct(), "jaccard-open")
-    left = rest.select("sig", "n", "r", "node", "component")
-    right = rest.select("sig", F.col("n").alias("m"), F.col("r").alias("q"), F.col("node").alias("b"), F.col("component").alias("other"), F.col("combined").alias("_c"))
-    apart = F.floor((F.col("n") + F.col("m")) / 19)
+    left = rest.select("sig", "combined", "n", "r", "node", "component")
+    right = rest.select("sig", *[F.col(x).alias(y) for x, y in zip(("n", "r", "node", "component"), ("m", "q", "b", "other"))])
     second = (
         left.join(right, "sig")
-        .where("component < other and n * 10 >= m * 9 and m * 10 >= n * 9")
-        # partners that share a combination only have no rare shingle in common
-        .where(~F.col("_c") | (F.col("r") + F.col("q") <= apart))
+        .where("component < other")
+        .where(_sizes_fit("n", "m") & _rare_fit())
         .select(F.col("node").alias("a"), "b")
     )
     links = links.union(_verified(second, nodes, texts))
