@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from askgrade.llm import class_lm, exact_dedup, jaccard_join, licenses, line_templates, packing, raking, rule_ensemble, spot_signatures
+from askgrade.llm import class_lm, exact_dedup, jaccard_join, licenses, line_templates, packing, raking, rule_ensemble, spot_signatures, token_file
 from askgrade.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,6 +61,11 @@ def op6_line_templates(spark, sf_dir):
     return line_templates.digest(documents(spark, sf_dir))
 
 
+@_query
+def op7_token_file(spark, sf_dir):
+    return token_file.round_trip(documents(spark, sf_dir))
+
+
 @_query
 def op8_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_duplicates(documents(spark, sf_dir))
