@@ -125,7 +125,8 @@ class _Reader:
         self.low[lanes] += self.unit * start.astype(np.uint64)
         self.wide[lanes] = self.unit * size.astype(np.uint64)
         while len(short := _shift(self.low, self.wide)):
-            self.code[short] = self.code[short] << _16 | self.words[short, self.used[short]]
+            at = np.minimum(self.used[short], self.words.shape[1] - 1)  # only a damaged block goes on
+            self.code[short] = self.code[short] << _16 | self.words[short, at]
             self.used[short] += 1
             self.low[short] <<= _16
             self.wide[short] <<= _16
