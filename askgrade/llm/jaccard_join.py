@@ -37,7 +37,7 @@ CLASS_BITS = 22
 CHUNKS = 64
 LEAST = 10  # sets below this size differ too much from every other set
 SALTS = 64
-BITS = 512
+BITS = 2048
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
