@@ -636,7 +636,7 @@ def _summary(result: search.SearchResult) -> DataFrame:
 def m3a_svc_grid_search(spark, d):
     """All 20 points on 5 folds."""
     data = search.training_table(_quality(spark, d))
-    return _summary(search.search_svc(data, max_iter=5, probability=False))
+    return _summary(search.search_svc(data))
 
 
 @query
@@ -675,27 +675,20 @@ def m8_all_losses_and_penalties(spark, d):
 @query
 def m8_logistic_regression(spark, d):
     data = search.training_table(_quality(spark, d))
-    model = search.logistic_model(data, ENGLISH_SPEC, 1e-5, "elasticnet", max_iter=20)
+    model = search.logistic_model(data, ENGLISH_SPEC, 1e-5, "elasticnet")
     return metrics.confusion_matrix(search.predict(model, data))
 
 
-SHORT_GRID = [
-    {"kernel": "linear", "C": 1, "gamma": None},
-    {"kernel": "linear", "C": 10, "gamma": None},
-    {"kernel": "sigmoid", "C": 1000, "gamma": 0.001},
-]
-
-
 def _trained(spark, d, data=None, **options) -> search.Trained:
-    options = {"max_iter": 10, **options}
+    """All 20 points on 5 folds, 100 iterations."""
     data = _quality(spark, d) if data is None else data
-    return search.train(data, "svc", ENGLISH_SPEC, SHORT_GRID, **options)
+    return search.train(data, "svc", ENGLISH_SPEC, **options)
 
 
 @query
 def m9_m13_score_questions(spark, d):
     model = _trained(spark, d).search.model
-    asked = adapters.texts(spark, d, "conversations").where("role = 'user'").select(
+    asked = adapters.texts(spark, d, "conversations").select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("Id"), F.col("text").alias("Body")
     )
     examples = spark.createDataFrame([(i, b) for i, _, b in EXAMPLES], "Id long, Body string")
@@ -713,9 +706,9 @@ def m10_train_and_report(spark, d):
 def m11_marker_effects(spark, d):
     truth = adapters.predictions(spark, d).select("Id", "label")
     source = posts(spark, d).join(truth, "Id")
-    variants = {m: datasets.single_marker(source, m) for m in ("codeblock", "numeric")}
+    variants = {m: datasets.single_marker(source, m) for m in datasets.SINGLE_MARKERS}
     return compare.marker_effects(
-        datasets.stripped(source), variants, ENGLISH_SPEC, SHORT_GRID[:2], max_iter=5, probability=False
+        datasets.stripped(source), variants, ENGLISH_SPEC, probability=False
     )
 
 
@@ -731,7 +724,7 @@ def m12_train_on_stemmed_marked_set(spark, d):
 def m14_score_stream(spark, d):
     model = _trained(spark, d).search.model
     folder = new_path(spark, "stream")
-    asked = adapters.texts(spark, d, "conversations").where("role = 'user'").select(
+    asked = adapters.texts(spark, d, "conversations").select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("Id"), F.col("text").alias("Body")
     )
     asked.write.parquet(f"{folder}/in")
@@ -749,7 +742,7 @@ def m15_algorithm_matrix(spark, d):
     return compare.algorithm_matrix(
         variants,
         vectorize.english_stop_words(),
-        SHORT_GRID[:1],
+        [{"kernel": "linear", "C": 1, "gamma": None}],
         [point | {"alpha": 1e-5, "penalty": "l2", "loss": "log"}],
         [point | {"C": 1, "loss": "squared_hinge"}],
         spark.createDataFrame(EXAMPLES, "Id long, label int, Body string"),
