@@ -37,12 +37,18 @@ def _keys(df: DataFrame) -> DataFrame:
     )
 
 
+def _masked(line: Column) -> Column:
+    """A line with single spaces and ``<*>`` for tokens with digits; most lines need neither."""
+    digits = F.when(line.rlike("[0-9]"), F.regexp_replace(line, r"(?<!\S)[^\s0-9]*+[0-9]\S*+", VARIABLE)).otherwise(line)
+    spaces = F.regexp_replace(digits, r"\s+", " ")
+    return F.trim(F.when(line.rlike(r"\s\s|[\t\x0B\f\r]"), spaces).otherwise(digits))
+
+
 def _lines(df: DataFrame) -> DataFrame:
     """``__llm_k, __llm_h, pos, masked, n, leaf`` of lines with enough tokens."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    lines = df.select("__llm_k", "__llm_h", F.posexplode(F.split(text, "\n")).alias("pos", "line"))
-    masked = F.trim(F.regexp_replace(F.regexp_replace("line", r"\S*[0-9]\S*", VARIABLE), r"\s+", " "))
-    lines = lines.select("__llm_k", "__llm_h", "pos", masked.alias("masked"))
+    # made inside the generator, so that no later step repeats it
+    lines = df.select("__llm_k", "__llm_h", F.posexplode(F.transform(F.split(text, "\n"), _masked)).alias("pos", "masked"))
     n = F.length("masked") - F.length(F.replace("masked", F.lit(" "), F.lit(""))) + 1
     lines = lines.withColumn("n", n).where(F.col("n") >= MIN_TOKENS)
     return lines.withColumn("leaf", F.xxhash64("n", F.substring_index("masked", " ", LEADING)))
