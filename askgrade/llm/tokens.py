@@ -1,24 +1,48 @@
 """Token ids of whole texts with a public tokenizer, remembering words.
 
-A text is cut before every space that follows a character other than white space. The
-tokenizers used here never join characters across such a place, so the ids of a text are the
-ids of its pieces in a row. Each piece is encoded once per Python worker while it is
-remembered, and all new pieces of a batch go to the tokenizer in one call.
+A text is cut before every space that follows a character other than white space, and a piece
+again into a word, the punctuation behind it, and lines. The tokenizers used here never join
+characters across such places, so the ids of a text are the ids of its parts in a row. Every
+word is encoded once while a Python worker remembers it; all new words of a batch go to the
+tokenizer in one call. Any piece of another form is encoded as it is.
 """
 
 from __future__ import annotations
 
 import re
+import string
 
 import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
 REMEMBERED = 300_000
+AT_ONCE = 20_000
 _CUT = re.compile(r"(?<=\S)(?= )")
 _BEFORE_SPACE = re.compile(r"\s ")
 
 
+class Memo:
+    """Two generations of a dictionary: what was used since the older one filled up is kept."""
+
+    def __init__(self, size: int = REMEMBERED):
+        self.size, self.new, self.old = size, {}, {}
+
+    def missing(self, keys: set[str]) -> list[str]:
+        """Keys that are not known; the others are in ``new`` afterwards."""
+        if len(self.new) > self.size:
+            self.new, self.old = {}, self.new
+        out = []
+        new, old = self.new, self.old
+        for key in keys:
+            if key not in new:
+                if key in old:
+                    new[key] = old[key]
+                else:
+                    out.append(key)
+        return out
+
+
 class Encoder:
     """Encodes texts as arrays of 16-bit ids (all ids of the vocabularies used are below 65,536)."""
 
@@ -27,86 +51,115 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids do not fit into 16 bits")
-        self.known: dict[str, bytes] = {}
-        self.space_in_front = len(self._ids("a a")) == 2 and self._ids("a")[0] != self._ids("a a")[1]
-        if self.space_in_front:
-            vocabulary = self.tokenizer.get_vocab()
-            self.starts = np.zeros(1 << 16, bool)
-            self.starts[[i for token, i in vocabulary.items() if token.startswith("Ġ")]] = True
-        else:
-            self.mark = next(c for c in "\x01\x02\x03\x04" if len(self._ids(f"a {c} a")) == 3)
-            self.mark_id = self._ids(f"a {self.mark} a")[1]
+        vocabulary = self.tokenizer.get_vocab()
+        # of byte-level ids the first of a word shows the space before it, of the others the last its end
+        self.byte_level = len(self._ids("a\na")) == 3
+        self.edges = np.zeros(1 << 16, bool)
+        marked = [i for t, i in vocabulary.items() if (t.startswith("Ġ") if self.byte_level else t.endswith("</w>"))]
+        self.edges[marked] = True
+        self.line = self._encode_one("\n")
+        self.no_case = self._ids("A") == self._ids("a")
+        self.pieces, self.words, self.signs = Memo(), Memo(), {"": b""}
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _encode_one(self, piece: str) -> bytes:
-        return np.array(self._ids(piece), np.uint16).tobytes()
+    def _encode_one(self, text: str) -> bytes:
+        return np.array(self._ids(text), np.uint16).tobytes()
+
+    def _learn_words(self, words: list[str]) -> None:
+        """Words of letters with a space before, or, if they begin with a line break, behind it."""
+        spaced = [w for w in words if w[0] != "\n"]
+        behind = [w for w in words if w[0] == "\n"]
+        known = self.words.new
+        for group, join in ((spaced, " "), (behind, "")):
+            for at in range(0, len(group), AT_ONCE):
+                some = group[at : at + AT_ONCE]
+                ids = np.array(self._ids(join + join.join(some)), np.uint16)
+                if join:
+                    found = np.flatnonzero(self.edges[ids])
+                    starts = found if self.byte_level else np.concatenate([[0], found[:-1] + 1])
+                    ends = np.append(found[1:], len(ids)) if self.byte_level else found + 1
+                else:
+                    starts = np.flatnonzero(ids == np.frombuffer(self.line, np.uint16)[0]) + 1
+                    ends = np.append(starts[1:] - 1, len(ids))
+                if len(starts) != len(some):  # not expected; then one by one
+                    known.update((w, self._encode_one(w[1:] if w[0] == "\n" else " " + w)) for w in some)
+                    continue
+                raw = ids.tobytes()
+                known.update(
+                    (w, raw[a:b]) for w, a, b in zip(some, (starts * 2).tolist(), (ends * 2).tolist())
+                )
+
+    def _parts(self, piece: str) -> list[tuple[str, str]] | None:
+        """(word, signs behind it) of every line of a piece, or None for a piece of another form."""
+        out = []
+        for i, line in enumerate(piece.split("\n")):
+            word = line.rstrip(string.punctuation)
+            if not word.isalpha():
+                return None
+            sign = line[len(word) :]
+            if self.no_case:
+                word = word.lower() if word.isascii() else word
+            elif i:
+                word = "\n" + word
+            out.append((word, sign))
+        return out
 
     def _learn(self, pieces: list[str]) -> None:
         """Ids of pieces that follow a space and hold none."""
-        if len(self.known) + len(pieces) > REMEMBERED:
-            self.known.clear()
-        plain = pieces if self.space_in_front else [p for p in pieces if self.mark not in p]
-        for at in range(0, len(plain), 20_000):
-            some = plain[at : at + 20_000]
-            if self.space_in_front:
-                ids = np.array(self._ids(" " + " ".join(some)), np.uint16)
-                cuts = np.flatnonzero(self.starts[ids])
-                if len(cuts) == len(some):
-                    self._remember(some, ids, cuts, np.append(cuts[1:], len(ids)))
-                    continue
+        simple: list[tuple[str, str, int]] = []
+        lines: list[tuple[str, list[tuple[str, str]]]] = []
+        known, signs, lower, marks = self.pieces.new, self.signs, self.no_case, string.punctuation
+        for piece in pieces:
+            word = piece.rstrip(marks)
+            if word.isalpha():
+                simple.append((piece, word.lower() if lower and word.isascii() else word, len(word)))
+            elif (parts := self._parts(piece)) is not None:
+                lines.append((piece, parts))
             else:
-                ids = np.array(self._ids(f" {self.mark} ".join(some)), np.uint16)
-                cuts = np.flatnonzero(ids == self.mark_id)
-                if len(cuts) == len(some) - 1:
-                    self._remember(some, ids, np.insert(cuts + 1, 0, 0), np.append(cuts, len(ids)))
-                    continue
-            for p in some:
-                self.known[p] = self._encode_one(" " + p)
-        for p in pieces if len(plain) < len(pieces) else ():
-            if self.mark in p:
-                self.known[p] = self._encode_one(" " + p)
-
-    def _remember(self, pieces: list[str], ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
-        raw = ids.tobytes()
-        for p, a, b in zip(pieces, (starts * 2).tolist(), (ends * 2).tolist()):
-            self.known[p] = raw[a:b]
+                known[piece] = self._encode_one(" " + piece)
+        wanted = {x[1] for x in simple}
+        wanted.update(word for _, parts in lines for word, _ in parts)
+        new = self.words.missing(wanted)
+        if new:
+            self._learn_words(new)
+        words = self.words.new
+
+        def signed(word: str, sign: str) -> bytes:
+            if sign not in signs:
+                if len(signs) > 1 << 14:
+                    signs.clear()
+                signs[sign] = self._encode_one(sign) if sign else b""
+            return words[word] + signs[sign]
+
+        for piece, word, n in simple:
+            known[piece] = words[word] if n == len(piece) else signed(word, piece[n:])
+        line = self.line if self.byte_level else b""
+        for piece, parts in lines:
+            known[piece] = line.join([signed(word, sign) for word, sign in parts])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         cut: list[tuple[str, list[str]]] = []
+        wanted: set[str] = set()
         for text in texts:
             if "  " in text or "\n " in text or "\t " in text or "\r " in text or _odd(text):
-                pieces = [p for p in _CUT.split(text)]
-                first, rest = (pieces[0], [p[1:] for p in pieces[1:]]) if pieces else ("", [])
+                first, *pieces = _CUT.split(text)
+                rest = [p[1:] for p in pieces]
                 if any(" " in p or p != p.strip() for p in rest):
-                    cut.append((text, []))  # spaces in a row: as one piece
-                    continue
-                cut.append((first, rest))
+                    first, rest = text, []  # spaces in a row: as one piece
             else:
                 first, *rest = text.split(" ")
-                cut.append((first, rest))
-        new: set[str] = set()
-        for _, rest in cut:
-            new.update(rest)
-        known = self.known
-        new = [p for p in new if p not in known]
+            cut.append((first, rest))
+            wanted.update(rest)
+        new = self.pieces.missing(wanted)
         if new:
             self._learn(new)
-            if len(self.known) <= len(new):  # it was emptied: learn what the batch still needs
-                missing = {p for _, rest in cut for p in rest if p not in known}
-                if missing:
-                    self._learn_more(missing)
-        find = known.__getitem__
-        return [np.frombuffer(self._first(first) + b"".join(map(find, rest)), np.uint16) for first, rest in cut]
-
-    def _learn_more(self, pieces: set[str]) -> None:
-        keep = dict(self.known)
-        self._learn(list(pieces))
-        self.known.update(keep)
-
-    def _first(self, piece: str) -> bytes:
-        return self._encode_one(piece) if piece else b""
+        find = self.pieces.new.__getitem__
+        return [
+            np.frombuffer((self._encode_one(first) if first else b"") + b"".join(map(find, rest)), np.uint16)
+            for first, rest in cut
+        ]
 
 
 def _odd(text: str) -> bool:
