@@ -61,7 +61,7 @@ def test_components_of_long_paths(spark):
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
-ODD = ["", "  a b", " a", "a  b \n c", "\n x y\n\n z ", "a  b　 c", "<|endoftext|> x<|endoftext|>", "\x01 \x01a \x02",
+ODD = ["a.\nB,\nc", "x\n\ny z", "Ab AB ÄB äb.", "it's a'b. x_y __ 12ab b12 a1.","", "  a b", " a", "a  b \n c", "\n x y\n\n z ", "a  b　 c", "<|endoftext|> x<|endoftext|>", "\x01 \x01a \x02",
        "é x", " ́a", "it's 'll x 've", "a \x1c b", "\x85 x y", "x Ġ y Ġa", "   ", "a   ", "tab\t x"]
 
 
