@@ -2,12 +2,13 @@
 
 Limits per class, stratified folds and exact-size splits all ask the same thing:
 "which key is at rank r of its group?".  A window over the group would send a whole
-class through one task.  Here the answer takes two narrow passes:
+class through one task.  Here the answer takes a few narrow passes:
 
 1. one partially aggregated pass gives every group's size and a quantile sketch,
    from which each wanted rank gets a bracket of keys that is sure to contain it;
-2. a second pass counts the rows below the bracket and ranks only the rows inside
-   (about ``4 / GRID`` of the group).
+2. further passes count the rows below the bracket and sketch the rows inside, which narrows it
+   to about ``4 / GRID`` of what it was, each time;
+3. the last pass ranks only the rows left inside: ``(4 / GRID) ** NARROWINGS`` of the group.
 
 The result has one row per group and rank, so applying it is a broadcast lookup.
 """
@@ -21,6 +22,17 @@ from pyspark.sql import functions as F
 
 GRID = 1000
 ACCURACY = 10 * GRID
+NARROWINGS = 2  # of a group of 10^11 rows, about 10^6 are left to rank
+
+
+def _bracket(share: Column, low: Column, high: Column) -> list[Column]:
+    """Bounds around a share of the sketched rows; the old ones at the sketch's ends."""
+    cell = share * GRID
+    lower, upper = F.floor(cell).cast("int") - 1, F.ceil(cell).cast("int") + 1
+    return [
+        F.when(lower > 0, F.get("sketch", lower)).otherwise(low).alias("low"),
+        F.when(upper < GRID, F.get("sketch", upper)).otherwise(high).alias("high"),
+    ]
 
 
 def key_at_ranks(
@@ -47,8 +59,6 @@ def key_at_ranks(
     sizes = narrow.groupBy("group").agg(
         F.count("*").alias("n"), F.percentile_approx("position", grid, ACCURACY).alias("sketch")
     )
-    cell = F.col("rank") / F.col("n") * GRID
-    low, high = F.floor(cell).cast("int") - 1, F.ceil(cell).cast("int") + 1
     wanted = (
         sizes.select(
             "group", "n", "sketch", F.posexplode(F.array(*ranks(F.col("n")))).alias("slot", "rank")
@@ -59,13 +69,26 @@ def key_at_ranks(
             "slot",
             F.col("rank").cast("long").alias("rank"),
             "n",
-            F.when(low > 0, F.get("sketch", low)).alias("low"),
-            F.when(high < GRID, F.get("sketch", high)).alias("high"),
+            *_bracket(F.col("rank") / F.col("n"), F.lit(None).cast("double"), F.lit(None).cast("double")),
         )
     )
-    candidates = narrow.join(F.broadcast(wanted), "group")
     below = F.coalesce(F.col("position") < F.col("low"), F.lit(False))
     above = F.coalesce(F.col("position") > F.col("high"), F.lit(False))
+    candidates = narrow.join(F.broadcast(wanted), "group")  # one row per group and rank
+    for _ in range(NARROWINGS - 1):
+        inside_only = F.when(~below & ~above, F.col("position"))
+        counted = candidates.groupBy("group", "slot").agg(
+            F.first("rank").alias("rank"),
+            F.first("n").alias("n"),
+            F.first("low").alias("low"),
+            F.first("high").alias("high"),
+            F.count_if(below).alias("below"),
+            F.count(inside_only).alias("inside"),
+            F.percentile_approx(inside_only, grid, ACCURACY).alias("sketch"),
+        )
+        share = (F.col("rank") - F.col("below")) / F.col("inside")
+        wanted = counted.select("group", "slot", "rank", "n", *_bracket(share, F.col("low"), F.col("high")))
+        candidates = narrow.join(F.broadcast(wanted), "group")
     targets = (
         candidates.groupBy("group", "slot")
         .agg(F.first("rank").alias("rank"), F.first("n").alias("n"), F.count_if(below).alias("below"))
