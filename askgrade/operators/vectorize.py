@@ -95,14 +95,22 @@ def vocabulary(
     df: DataFrame, column: str = "Body", min_df=MIN_DF, max_df=MAX_DF, stop_words=None
 ) -> DataFrame:
     """V4: (term, df, n) with both document-frequency bounds inclusive."""
-    n = df.agg(F.count("*").alias("n")).scalar()
-    return (
-        document_frequencies(df, column, stop_words)
-        .withColumn("n", n)
-        .where((F.col("df") >= _bound(min_df, F.col("n"))) & (F.col("df") <= _bound(max_df, F.col("n"))))
+    counted = _frequencies_and_size(df, column, stop_words)
+    n = counted.agg(F.max(F.when(F.col("term") == "", F.col("df")))).scalar()
+    # a filter on the term alone would be pushed below the shuffle, which both readers share
+    frequency = F.when(F.col("term") != "", F.col("df"))
+    return counted.withColumn("n", n).where(
+        (frequency >= _bound(min_df, F.col("n"))) & (frequency <= _bound(max_df, F.col("n")))
     )
 
 
+def _frequencies_and_size(df: DataFrame, column: str, stop_words) -> DataFrame:
+    """(term, df), and the number of documents as the df of the empty term."""
+    found = F.concat(F.array_distinct(terms(F.col(column), stop_words)), F.array(F.lit("")))
+    found = F.coalesce(found, F.array(F.lit("")))
+    return df.select(F.explode(found).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+
+
 def smooth_idf(n: Column, df: Column) -> Column:
     """V5: ln((1 + n) / (1 + df)) + 1."""
     return F.log((n + 1) / (df + 1)) + 1
