@@ -688,13 +688,30 @@ def _trained(spark, d, data=None, **options) -> search.Trained:
 @query
 def m9_m13_score_questions(spark, d):
     model = _trained(spark, d).search.model
-    asked = adapters.texts(spark, d, "conversations").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("Id"), F.col("text").alias("Body")
-    )
+    asked = _asked(spark, d)
     examples = spark.createDataFrame([(i, b) for i, _, b in EXAMPLES], "Id long, Body string")
     return scoring.score_questions(model, asked.unionByName(examples))
 
 
+def _asked(spark, d):
+    """Every text of the conversations as a question."""
+    return adapters.texts(spark, d, "conversations").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("Id"), F.col("text").alias("Body")
+    )
+
+
+@query
+def s8_m13_registered_sgd_model(spark, d):
+    """An SGD model with log loss is trained, registered, loaded and scores all conversations."""
+    point = {"min_df": 0.01, "max_df": 0.95, "use_idf": True, "norm": "l2", "alpha": 1e-5}
+    data = search.training_table(_quality(spark, d))
+    points = [point | {"penalty": "l2", "loss": "log", "n_iter": n} for n in C.SGD_N_ITER]
+    found = search.search_linear(data, points)
+    root = new_path(spark, "models")
+    registry.save_model(found.model, root, "sgd", found.best, found.best_score)
+    return scoring.score_questions(registry.load_model(spark, root, "sgd"), _asked(spark, d))
+
+
 @query
 def m10_train_and_report(spark, d):
     trained = _trained(spark, d, probability=False)
@@ -724,9 +741,7 @@ def m12_train_on_stemmed_marked_set(spark, d):
 def m14_score_stream(spark, d):
     model = _trained(spark, d).search.model
     folder = new_path(spark, "stream")
-    asked = adapters.texts(spark, d, "conversations").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("Id"), F.col("text").alias("Body")
-    )
+    asked = _asked(spark, d)
     asked.write.parquet(f"{folder}/in")
     stream = score_stream.question_stream(spark, f"{folder}/in")
     run = score_stream.start_scoring(model, stream, f"{folder}/out", f"{folder}/state")

@@ -143,3 +143,26 @@ def test_svc_search_scoring_registry_and_stream(spark, texts):
     stream = score_stream.question_stream(spark, f"{folder}/in", max_files_per_trigger=1)
     score_stream.start_scoring(model, stream, f"{folder}/out", f"{folder}/state").awaitTermination()
     assert sorted(spark.read.parquet(f"{folder}/out").collect()) == sorted(rows)
+
+
+def test_sgd_models_are_registered_scored_and_streamed(spark, texts):
+    base = {"min_df": 0.02, "max_df": 1.0, "use_idf": True, "norm": "l2", "alpha": 1e-5, "penalty": "l2"}
+    root = new_path(spark, "models")
+    for loss in ("log", "modified_huber", "hinge"):
+        done = search.search_linear(texts, [base | {"loss": loss, "n_iter": 15}], k=2)
+        registry.save_model(done.model, root, loss, done.best, done.best_score)
+        model = registry.load_model(spark, root, loss)
+        rows = scoring.score_questions(model, texts).collect()
+        assert len(rows) == texts.count()
+        assert all(r.verdict == ("good" if r.prediction == 1 else "bad") for r in rows)
+        if loss == "hinge":
+            assert all(r.probability_pct is None for r in rows)
+        else:
+            assert all(49.99 <= r.probability_pct <= 100 for r in rows)
+    folder = new_path(spark, "stream")
+    texts.select("Id", "Body").repartition(2).write.parquet(f"{folder}/in")
+    model = registry.load_model(spark, root, "log")
+    stream = score_stream.question_stream(spark, f"{folder}/in")
+    score_stream.start_scoring(model, stream, f"{folder}/out", f"{folder}/state").awaitTermination()
+    wanted = scoring.score_questions(model, texts).collect()
+    assert sorted(spark.read.parquet(f"{folder}/out").collect()) == sorted(wanted)
