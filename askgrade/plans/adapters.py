@@ -46,8 +46,11 @@ def _body() -> Column:
 
 
 def _tags() -> Column:
-    terms = F.slice(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0))), 1, 3)
-    return F.array_join(F.transform(terms, lambda t: F.concat(F.lit("<"), t, F.lit(">"))), "")
+    """The three longest terms of the whole text, ties in alphabetical order."""
+    terms = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))
+    keyed = F.transform(terms, lambda t: F.struct((-F.length(t)).alias("shortness"), t.alias("term")))
+    longest = F.slice(F.sort_array(keyed), 1, 3)
+    return F.array_join(F.transform(longest, lambda t: F.concat(F.lit("<"), t["term"], F.lit(">"))), "")
 
 
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,20 +68,11 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts(spark, sf_dir, "documents").select(*columns)
 
 
-def site_tags(spark: SparkSession, sf_dir: str, n: int = 50) -> DataFrame:
-    """The ``n`` terms found in most documents, ties in alphabetical order."""
-    terms = texts(spark, sf_dir, "documents").select(
-        F.explode(
-            F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))
-        ).alias("TagName")
-    )
-    return (
-        terms.groupBy("TagName")
-        .agg(F.count("*").alias("n"))
-        .orderBy(F.desc("n"), "TagName")
-        .limit(n)
-        .select("TagName")
-    )
+def site_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every tag that some question has."""
+    tags = F.split(F.translate(_tags(), "<>", "  "), r"\s+")
+    named = texts(spark, sf_dir, "documents").select(F.explode(tags).alias("TagName"))
+    return named.where("TagName <> ''").distinct()
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:

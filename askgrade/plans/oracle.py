@@ -117,8 +117,7 @@ def _external(source: str, found: str) -> str:
 
 POSTS = f"""
 words as (select doc_id, regexp_extract_all(lower(text), '{TERM}') as l from documents),
-three as (select doc_id, list_slice(list_filter(l, lambda x, i: list_position(l, x) = i), 1, 3) as t
-          from words),
+three as (select doc_id, list_slice({_by_length("list_distinct(l)")}, 1, 3) as t from words),
 posts as (
   select d.doc_id as Id,
     cast(((d.doc_id * 7919) % 241) - 60 as integer) as Score,
@@ -139,8 +138,7 @@ posts as (
     cast(null as timestamp) as ClosedDate
   from documents d join three using (doc_id)),
 site_tags as (
-  select TagName from (select unnest(list_distinct(l)) as TagName from words)
-  group by TagName order by count(*) desc, TagName limit 50),
+  select distinct TagName from (select unnest(t) as TagName from three)),
 classes as (
   select *, case when Score < -5 then -1 else 1 end as label from posts where Score < -5 or Score > 50),
 raw as (select *, cast(length(Body) as integer) as length from classes),
@@ -304,9 +302,12 @@ for _name, _set in (("d4a_codeblock_set", "s_codeblock"), ("d4b_links_set", "s_l
 _add("d4f_tags_set", f"""{ALL}, found as ({_found('s_tags')}), done as ({_external('s_tags', 'found')})
   select Id, {_DIGEST} from done""", "")
 _SETS = ("codeblock", "links", "homework", "numeric", "hexadecimal", "tags")
-_add("d4_all_single_marker_sets", "\nunion all ".join(
+_BOTH_TAGS = f"""{ALL}, found as ({_found('s_tags')}), done as ({_external('s_tags', 'found')}),
+s_both_tags as (select d.Id, d.Body, r.label from done d join raw r on r.Id = d.Id)
+"""
+_add("d4_all_single_marker_sets", _BOTH_TAGS + "\nunion all ".join(
     f"select '{s}' as marker, label, count(*) as questions, cast(sum(length(Body)) as bigint) as characters "
-    f"from s_{s} group by label" for s in _SETS))
+    f"from {'s_both_tags' if s == 'tags' else 's_' + s} group by label" for s in _SETS), "")
 
 
 def _pair(name: str, source: str, names: list[str]) -> str:
@@ -318,9 +319,9 @@ def _pair(name: str, source: str, names: list[str]) -> str:
 
 _add("d5a_extraction_pairs_one_marker", "\nunion all ".join(
     _pair(n, f"s_{n}", [n]) for n in ("hexadecimal", "numeric", "links", "codeblock")))
-_add("d5b_extraction_pairs_either_marker", "\nunion all ".join([
-    _pair("tags", "s_tags", ["attached_tag", "external_tag"]),
-    _pair("homework", "s_homework", ["homework", "assignment"])]))
+_add("d5b_extraction_pairs_either_marker", _BOTH_TAGS + "\nunion all ".join([
+    _pair("tags", "s_both_tags", ["attached_tag", "external_tag"]),
+    _pair("homework", "s_homework", ["homework", "assignment"])]), "")
 _add("d5c_extraction_pair_any_marker", _pair("all", "marked", [
     "codeblock", "links", "attached_tag", "hexadecimal", "numeric", "homework"]))
 

@@ -97,7 +97,8 @@ def s2_load_tags(spark, d):
 @query
 def s2_tags_csv(spark, d):
     path = new_path(spark, "tags")
-    named = adapters.site_tags(spark, d).select(F.lit(0).cast("long").alias("row_idx"), "TagName")
+    index = F.monotonically_increasing_id().alias("row_idx")
+    named = adapters.site_tags(spark, d).select(index, "TagName")
     csv_files.write_csv(named, path)
     return tables.load_tags(csv_files.read_tags_csv(spark, path))
 
@@ -469,8 +470,8 @@ def d4f_tags_set(spark, d):
 
 @query
 def d4_all_single_marker_sets(spark, d):
-    """All six sets as one table, own tags only."""
-    sets = datasets.all_single_markers(raw(spark, d))
+    """All six sets as one table, with own and other tags."""
+    sets = datasets.all_single_markers(raw(spark, d), adapters.site_tags(spark, d))
     return sets.groupBy("marker", "label").agg(
         F.count("*").alias("questions"), F.sum(F.length("Body")).alias("characters")
     )
@@ -483,7 +484,8 @@ def _pairs(spark, d, names):
         if name == "all":
             with_marker = datasets.marked(source, exclude_site_tags=True, exclude_assignment=True)
         else:
-            with_marker = datasets.single_marker(source, name)
+            site = adapters.site_tags(spark, d) if name == "tags" else None
+            with_marker = datasets.single_marker(source, name, site)
         halves = datasets.extraction_pair(source, with_marker, datasets.EXTRACTION_SETS[name])
         for half, data in zip(("marked", "stripped"), halves):
             part = data.select(F.lit(name).alias("set"), F.lit(half).alias("half"), "Id", "Body")
