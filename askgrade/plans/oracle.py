@@ -7,9 +7,26 @@ joins instead of in-row expressions.
 
 from __future__ import annotations
 
-from askgrade.constants import ASSIGNMENT_WORDS, ENGLISH_STOP_WORDS, HOMEWORK_WORDS
-from askgrade.functions.markers import noun_forms
-from askgrade.functions.tokens import RULES
+from askgrade.constants import ENGLISH_STOP_WORDS
+
+# --- fixed values: the token rules, for RE2, written out here so that a slip in the engine's shows
+TOKEN_RULES = [
+    ("([^.])[.]([])}>\"']*)([ \\t\\n\\f\\r]+|$)", r"\1 . \2 "),
+    (r"([.]{3}|-{2}|`{2}|'{2}|[]\[;@#$%&?!(){}<>\"])", r" \1 "),
+    ("(:|,)([^0-9]|$)", r" \1 \2"),
+    ("([^' ])('[dDmMsS]|')( |$)", r"\1 \2 "),
+    ("([^' ])('ll|'re|'ve|n't|'LL|'RE|'VE|N'T)( |$)", r"\1 \2 "),
+    (r"(?i)\b(d)('ye)\b|\b(mor)('n)\b| ('t)(is|was)\b", r" \1\3\5 \2\4\6 "),
+    (r"(?i)\b(?:(can)(not)|(gim)(me)|(lem)(me)|(gon)(na)|(wan)(na)|(got)(ta))\b",
+     r" \1\3\5\7\9 \2\4\6\8 "),
+]
+# --- fixed values: forms of the homework words, by length and alphabet
+HOMEWORK_FORMS = """
+    schoolteachers schoolteacher supervisors professors schoolworks schoolwork supervisor educations
+    homeworks professor textbooks education exercises homework lectures teachers textbook colleges
+    exercise college lecture schools teacher teaches school exams teach teachs exam
+""".split()
+ASSIGNMENT_FORMS = ["assignments", "assignment"]
 
 TERM = r"[\p{L}\p{N}_]{2,}"
 
@@ -67,8 +84,8 @@ def _numeric(x: str) -> str:
 
 
 def _tokens(x: str) -> str:
-    for pattern, replacement in RULES:
-        x = _replace_all(x, pattern, replacement.replace("$", "\\"))
+    for pattern, replacement in TOKEN_RULES:
+        x = _replace_all(x, pattern, replacement)
     return f"list_distinct(list_filter(string_split_regex({x}, '\\s+'), lambda w: w <> ''))"
 
 
@@ -90,9 +107,9 @@ def _hits(words: str, tokens: str) -> str:
     return f"list_filter({words}, lambda w: list_contains({tokens}, w))"
 
 
-def _word_list(source: str, words: list[str], marker: str) -> str:
+def _word_list(source: str, forms: list[str], marker: str) -> str:
     """Rows of ``source`` (Id, Body) with the surface forms of a word list replaced."""
-    hits = _hits(_list(noun_forms(words)), "k")
+    hits = _hits(_list(sorted(forms, key=lambda w: (-len(w), w))), "k")
     folded = _fold("Body", hits, marker)
     return f"select Id, {folded} as Body from (select Id, Body, {_tokens('Body')} as k from {source})"
 
@@ -151,15 +168,15 @@ MARKED = f"""
 spaced as (select Id, Tags, label,
   {_numeric(_hex(_spaced(_links(_code(_unescape('lower(Body)'))))))} as Body from raw),
 tagged as ({_attached('spaced')}),
-homeworked as ({_word_list('tagged', HOMEWORK_WORDS, ' has_homework ')}),
+homeworked as ({_word_list('tagged', HOMEWORK_FORMS, ' has_homework ')}),
 marked as (select h.Id, h.Body, r.label, cast(length(h.Body) as integer) as length
            from homeworked h join raw r on r.Id = h.Id)
 """
 SINGLE = f"""
 s_codeblock as (select Id, {_spaced(_code('Body'))} as Body, label, length from raw),
 s_links as (select Id, {_spaced(_links('Body'))} as Body, label, length from raw),
-s_homework0 as ({_word_list('stripped', HOMEWORK_WORDS, ' has_homework ')}),
-s_homework1 as ({_word_list('s_homework0', ASSIGNMENT_WORDS, ' has_assignment ')}),
+s_homework0 as ({_word_list('stripped', HOMEWORK_FORMS, ' has_homework ')}),
+s_homework1 as ({_word_list('s_homework0', ASSIGNMENT_FORMS, ' has_assignment ')}),
 s_homework as (select h.Id, h.Body, label, length from s_homework1 h join raw r on r.Id = h.Id),
 s_numeric as (select Id, {_numeric('Body')} as Body, label, length from stripped),
 s_hexadecimal as (select Id, {_hex('Body')} as Body, label, length from stripped),
@@ -266,7 +283,8 @@ _add("t2_t3_markers_exact", f"select Id, {_spaced(_links(_code(_unescape('Body')
 _SCRIPT = "replace(Body, '\"</p>\"', '\"§/p>\"')"
 _PAGE = f"replace({_text(_SCRIPT)}, '\"§/p>\"', '\"</p>\"')"
 _add("t4_strip_pages", f"select Id, {_PAGE} as Body from pages_", BASE)
-_add("t4_strip_losing_tails", f"select Id, {_PAGE} as Body from pages_", BASE)
+_add("t4_strip_losing_tails", f"""select Id, {_PAGE} as Body from (
+  select Id, Body || case when Id % 3 = 0 then ' if a ' else '' end as Body from pages_)""", BASE)
 _LINKED = f"replace({_spaced(_links(_unescape(_SCRIPT)))}, '\"§/p>\"', '\"</p>\"')"
 _add("t4_strip_pages_keeping_links_marked", f"select Id, {_LINKED} as Body from pages_", BASE)
 _add("t5_collapse_whitespace", f"select doc_id, {_collapse('text')} as text from documents", "")
@@ -282,14 +300,14 @@ _add("t11_attached_tag_marker", "select Id, Body from s_tags")
 _DIGEST = "cast(length(Body) as integer) as n, md5(Body) as digest"
 _add("t11_external_tag_marker", f"""{ALL}, found as ({_found('stripped')}),
   done as ({_external('stripped', 'found')}) select Id, {_DIGEST} from done""", "")
-_add("t12_homework_marker", _word_list("stripped", HOMEWORK_WORDS, " has_homework "))
-_add("t13_assignment_marker", _word_list("stripped", ASSIGNMENT_WORDS, " has_assignment "))
+_add("t12_homework_marker", _word_list("stripped", HOMEWORK_FORMS, " has_homework "))
+_add("t13_assignment_marker", _word_list("stripped", ASSIGNMENT_FORMS, " has_assignment "))
 _VERSION = _replace_all("t", r"\b(?:v\.?|vno\.?|version)\s*\d+(?:\.\d+)*", " has_version_number ", "gi")
 _add("t14_version_marker", f"""select doc_id, {_VERSION} as "on", true as off_is_identity
   from (select doc_id, 'version ' || doc_id || ': ' || text as t from documents)""", "")
 _add("t16_clean_all_markers", f"""{ALL}, found as ({_found('tagged')}),
-  ext as ({_external('tagged', 'found')}), hw as ({_word_list('ext', HOMEWORK_WORDS, ' has_homework ')}),
-  done as ({_word_list('hw', ASSIGNMENT_WORDS, ' has_assignment ')}) select Id, {_DIGEST} from done""", "")
+  ext as ({_external('tagged', 'found')}), hw as ({_word_list('ext', HOMEWORK_FORMS, ' has_homework ')}),
+  done as ({_word_list('hw', ASSIGNMENT_FORMS, ' has_assignment ')}) select Id, {_DIGEST} from done""", "")
 
 # --- data sets
 _add("d1_raw_set", "select * from raw", BASE)

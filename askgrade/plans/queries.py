@@ -329,7 +329,11 @@ def t4_strip_pages_keeping_links_marked(spark, d):
 
 @query
 def t4_strip_losing_tails(spark, d):
-    return html.clean_html(adapters.html_pages(spark, d), compat=True)
+    """Two of three pages get a tail that ends inside a tag or an entity."""
+    kind = F.col("Id") % 3
+    tail = F.when(kind == 0, " if a <b then lost").when(kind == 1, " tail AT&T").otherwise("")
+    pages = adapters.html_pages(spark, d).withColumn("Body", F.concat("Body", tail))
+    return html.clean_html(pages, compat=True)
 
 
 @query
