@@ -38,6 +38,7 @@ CHUNKS = 64
 LEAST = 10  # sets below this size differ too much from every other set
 SALTS = 64
 BITS = 2048
+FOLDED = ("f0", "f1", "f2", "f3")
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -74,17 +75,22 @@ def _token_class(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - CLASS_BITS)).astype(np.int64)
 
 
-def _bitmaps(hashes: np.ndarray, bounds: np.ndarray) -> pa.Array:
-    """For each set, the parity of its hashes in each of BITS places, as a list of longs."""
+def _bitmaps(hashes: np.ndarray, bounds: np.ndarray) -> tuple[pa.Array, list[pa.Array]]:
+    """For each set, the parity of its hashes in each of BITS places, as a list of longs, and in
+    each of 64 * len(FOLDED) places, as columns."""
     n = len(bounds) - 1
     owner = np.repeat(np.arange(n), np.diff(bounds))
     place = owner * BITS + (hashes % np.uint64(BITS)).astype(np.int64)
     parity = (np.bincount(place, minlength=n * BITS) & 1).astype(bool).reshape(n, BITS)
     longs = np.packbits(parity, axis=1).view(np.int64)
-    return pa.ListArray.from_arrays(np.arange(0, n * BITS // 64 + 1, BITS // 64, dtype=np.int32), pa.array(longs.reshape(-1)))
+    folded = np.bitwise_xor.reduce(longs.reshape(n, -1, len(FOLDED)), axis=1)
+    lists = np.arange(0, n * BITS // 64 + 1, BITS // 64, dtype=np.int32)
+    return pa.ListArray.from_arrays(lists, pa.array(longs.reshape(-1))), [pa.array(x) for x in folded.T.copy()]
 
 
-_COUNTED = "doc_id long, n long, k1 long, k2 long, bits array<long>, chunk int, counts binary"
+_COUNTED = """doc_id long, n long, k1 long, k2 long, bits array<long>, f0 long, f1 long, f2 long, f3 long,
+    chunk int, counts binary"""
+_COUNTED_NAMES = ["doc_id", "n", "k1", "k2", "bits", *FOLDED, "chunk", "counts"]
 
 
 def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,23 +102,24 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             any_ = True
             total += np.bincount(_token_class(hashes), minlength=1 << CLASS_BITS)
             m = hi - lo
+            bits, folded = _bitmaps(hashes, bounds)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id").slice(lo, m), pa.array(np.diff(bounds)), pa.array(k1.view(np.int64)),
-                    pa.array(k2.view(np.int64)), _bitmaps(hashes, bounds), pa.nulls(m, pa.int32()),
+                    pa.array(k2.view(np.int64)), bits, *folded, pa.nulls(m, pa.int32()),
                     pa.nulls(m, pa.binary()),
                 ],
-                ["doc_id", "n", "k1", "k2", "bits", "chunk", "counts"],
+                _COUNTED_NAMES,
             )
     if any_:
         pieces = [zlib.compress(x.tobytes(), 1) for x in np.split(total.astype(np.int32), CHUNKS)]
         empty = pa.nulls(CHUNKS, pa.int64())
         yield pa.RecordBatch.from_arrays(
             [
-                empty, empty, empty, empty, pa.nulls(CHUNKS, pa.list_(pa.int64())),
+                empty, empty, empty, empty, pa.nulls(CHUNKS, pa.list_(pa.int64())), *[empty] * len(FOLDED),
                 pa.array(np.arange(CHUNKS, dtype=np.int32)), pa.array(pieces, pa.binary()),
             ],
-            ["doc_id", "n", "k1", "k2", "bits", "chunk", "counts"],
+            _COUNTED_NAMES,
         )
 
 
@@ -279,11 +286,12 @@ def linked(documents: DataFrame) -> DataFrame:
     """
     texts = whole_texts(documents)
     counted = materialise(small_batches(texts).mapInArrow(_count, _COUNTED), "jaccard-counted")
-    docs = counted.where("chunk is null").select("doc_id", "n", "k1", "k2", "bits")
+    docs = counted.where("chunk is null").select("doc_id", "n", "k1", "k2", "bits", *FOLDED)
     linkable = docs.where("n > 0 and doc_id is not null")
     nodes = materialise(
         linkable.groupBy("k1", "k2").agg(
-            F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("bits").alias("bits")
+            F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("bits").alias("bits"),
+            *[F.first(x).alias(x) for x in FOLDED],
         ),
         "jaccard-nodes",
     )
@@ -325,15 +333,20 @@ def linked(documents: DataFrame) -> DataFrame:
     rest = rest.select("sig", "combined", "n", "r", "node")
     rest = rest.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_ = rest.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    rest = materialise(rest.join(open_.select("sig"), "sig", "left_semi").distinct(), "jaccard-open")
-    left = rest.select("sig", "combined", "n", "r", "node", "component")
-    right = rest.select("sig", *[F.col(x).alias(y) for x, y in zip(("n", "r", "node", "component"), ("m", "q", "b", "other"))])
-    second = (
-        left.join(right, "sig")
-        .where("component < other")
-        .where(_sizes_fit("n", "m") & _rare_fit())
-        .select(F.col("node").alias("a"), "b")
-    )
+    rest = rest.join(open_.select("sig"), "sig", "left_semi").distinct()
+    rest = materialise(rest.join(nodes.select("node", *FOLDED), "node"), "jaccard-open")
+    # both sides are the same table, so its shuffle is made once
+    one, two = rest.alias("one"), rest.alias("two")
+    apart = F.floor((F.col("one.n") + F.col("two.n")) / 19)
+    unlike = sum(F.bit_count(F.col(f"one.{x}").bitwiseXOR(F.col(f"two.{x}"))) for x in FOLDED)
+    second = one.join(
+        two,
+        (F.col("one.sig") == F.col("two.sig"))
+        & (F.col("one.component") < F.col("two.component"))
+        & _sizes_fit("one.n", "two.n")
+        & (~F.col("one.combined") | (F.col("one.r") + F.col("two.r") <= apart))
+        & (unlike <= apart),
+    ).select(F.col("one.node").alias("a"), F.col("two.node").alias("b"))
     links = links.union(_verified(second, nodes, texts))
     final = components(links, "component")
     classes = nodes.select("k1", "k2", "node").join(final, "node", "left")
