@@ -8,6 +8,7 @@ without that setting (tests, benchmarks on one machine) gets a folder of its own
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -45,6 +46,25 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _plain(path: str) -> str:
+    """A path without its scheme and trailing slashes."""
+    return "/" + re.sub(r"^[A-Za-z0-9+.-]+:", "", path).strip("/")
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table that ``materialise`` wrote and no job reads any more.
+
+    Only a folder directly below the shared one is ever deleted.
+    """
+    spark = df.sparkSession
+    root = _plain(work_dir(spark))
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in {os.path.dirname(f) for f in df.inputFiles()}:
+        if os.path.dirname(_plain(folder)) == root:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
+
+
 _shipped: set[str] = set()
 
 

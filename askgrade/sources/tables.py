@@ -13,13 +13,13 @@ from askgrade.schemas import QUESTION
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores when a table comes in fewer pieces than there are cores.
+    """Use all cores on a table of one file, which a single task would read.
 
-    A file with one row group is read by one task, and everything up to the next
-    shuffle stays in it. Tables in many pieces, large ones, are left as they are.
+    Everything up to the next shuffle would stay in that task. Tables of several files are left
+    as they are.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    one = len(df.inputFiles()) == 1
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if one else df
 
 
 def score_band(score: Column) -> Column:

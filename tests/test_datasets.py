@@ -1,5 +1,6 @@
 """Data sets, sources, splits, metrics: small fixtures and brute force."""
 
+import os
 import math
 import random
 
@@ -10,7 +11,7 @@ from askgrade import constants as C
 from askgrade.operators import datasets, metrics, questions, split
 from askgrade.operators.order_stats import key_at_ranks
 from askgrade.schemas import LABELLED_QUESTION
-from askgrade.session import new_path
+from askgrade.session import discard, materialise, new_path
 from askgrade.sources import cached, csv_files, libsvm, tables
 
 
@@ -199,3 +200,14 @@ def test_external_tags_reuse_one_shuffle_of_the_text(spark, sf):
     done = mark_external_tags(datasets.stripped(raw), adapters.site_tags(spark, sf))
     done.collect()
     assert "ReusedExchange" in done._jdf.queryExecution().executedPlan().toString()
+
+
+def test_discard_deletes_its_own_table_only(spark, tmp_path):
+    kept, gone = materialise(spark.range(5), "kept"), materialise(spark.range(3), "gone")
+    elsewhere = str(tmp_path / "elsewhere")
+    spark.range(4).write.parquet(elsewhere)
+    path = os.path.dirname(gone.inputFiles()[0]).removeprefix("file:")
+    discard(gone)
+    discard(spark.read.parquet(elsewhere))  # not below the shared folder
+    assert not os.path.exists(path)
+    assert kept.count() == 5 and spark.read.parquet(elsewhere).count() == 4
