@@ -21,12 +21,12 @@ SLOTS = 1 << 12
 SURE = 3
 SYMBOLS = 2 + 17
 STEP, LIMIT = 24, 1 << 12
-_LENGTHS = np.zeros(1 << 16, np.int64)
+_LENGTHS = np.zeros(1 << 16, np.int32)
 for _bits in range(17):
     _LENGTHS[(1 << _bits) >> 1 : 1 << _bits] = _bits
 _LITERAL = _LENGTHS + 2
 _REST = np.maximum(_LENGTHS - 1, 0)  # bits after the leading one
-_BASE = np.where(np.arange(17) > 0, 1 << np.maximum(np.arange(17) - 1, 0), 0)
+_BASE = np.where(np.arange(17) > 0, 1 << np.maximum(np.arange(17) - 1, 0), 0).astype(np.int32)
 _BOTTOM = np.uint64(1 << 32)
 _TOP = np.uint64(1 << 48)
 _16 = np.uint64(16)
@@ -36,8 +36,8 @@ class _Model:
     def __init__(self, lanes: int):
         self.lane = np.arange(lanes)
         self.slot = self.lane * SLOTS
-        self.seen = [np.zeros(lanes * SLOTS, np.int64) for _ in range(2)]  # id * 4 + confidence
-        self.counts = np.ones((lanes * (SURE + 1) ** 2, SYMBOLS), np.int64)
+        self.seen = [np.zeros(lanes * SLOTS, np.int32) for _ in range(2)]  # id * 4 + confidence
+        self.counts = np.ones((lanes * (SURE + 1) ** 2, SYMBOLS), np.int32)
         self.counts[:, 2:] = 2
         self.before = np.zeros(lanes, np.int64)
         self.before2 = np.zeros(lanes, np.int64)
@@ -49,7 +49,7 @@ class _Model:
         self.held = [s[a] for s, a in zip(self.seen, self.at)]
         self.row = self.lane * (SURE + 1) ** 2 + (self.held[0] & SURE) * (SURE + 1) + (self.held[1] & SURE)
         counts = self.counts[self.row]
-        return counts, np.cumsum(counts, axis=1)
+        return counts, np.cumsum(counts, axis=1, dtype=np.int32)
 
     def symbol(self, ids: np.ndarray) -> np.ndarray:
         by2 = (self.held[0] >> 2 == ids) & (self.held[0] & SURE > 0)
@@ -85,11 +85,11 @@ class _Writer:
         self.out = np.zeros((lanes, 2 * length + 16), np.uint16)
         self.used = np.zeros(lanes, np.int64)
 
-    def put(self, lanes, start, size, total) -> None:
-        """Code the part ``start .. start + size`` of ``total`` in some lanes."""
-        unit = self.wide[lanes] // total.astype(np.uint64)
-        self.low[lanes] += unit * start.astype(np.uint64)
-        self.wide[lanes] = unit * size.astype(np.uint64)
+    def put(self, start, size, total, rest, bits) -> None:
+        """Code the part ``start .. start + size`` of ``total``, and ``rest`` in ``bits`` bits inside it."""
+        unit = self.wide // total.astype(np.uint64)
+        self.wide = unit * size.astype(np.uint64) >> bits.astype(np.uint64)
+        self.low += unit * start.astype(np.uint64) + self.wide * rest.astype(np.uint64)
         while len(short := _shift(self.low, self.wide)):
             self.out[short, self.used[short]] = self.low[short] >> np.uint64(48)
             self.used[short] += 1
@@ -117,19 +117,25 @@ class _Reader:
             self.code = self.code << _16 | self.words[:, i]
         self.used = np.full(len(blocks), 4)
 
-    def value(self, lanes, total) -> np.ndarray:
-        self.unit = self.wide[lanes] // total.astype(np.uint64)
-        return np.minimum((self.code[lanes] - self.low[lanes]) // self.unit, total.astype(np.uint64) - np.uint64(1)).astype(np.int64)
-
-    def take(self, lanes, start, size) -> None:
-        self.low[lanes] += self.unit * start.astype(np.uint64)
-        self.wide[lanes] = self.unit * size.astype(np.uint64)
+    def value(self, total) -> np.ndarray:
+        """Where the code lies in ``total`` parts."""
+        self.unit = self.wide // total.astype(np.uint64)
+        found = (self.code - self.low) // self.unit
+        return np.minimum(found, total.astype(np.uint64) - np.uint64(1)).astype(np.int32)
+
+    def rest(self, start, size, bits) -> np.ndarray:
+        """The bits inside the part that was found; goes on to the next."""
+        self.low += self.unit * start.astype(np.uint64)
+        self.wide = self.unit * size.astype(np.uint64) >> bits.astype(np.uint64)
+        rest = np.minimum((self.code - self.low) // self.wide, (np.uint64(1) << bits.astype(np.uint64)) - np.uint64(1))
+        self.low += self.wide * rest
         while len(short := _shift(self.low, self.wide)):
             at = np.minimum(self.used[short], self.words.shape[1] - 1)  # only a damaged block goes on
             self.code[short] = self.code[short] << _16 | self.words[short, at]
             self.used[short] += 1
             self.low[short] <<= _16
             self.wide[short] <<= _16
+        return rest.astype(np.int32)
 
 
 def encode(ids: np.ndarray, block: int = BLOCK) -> tuple[list[bytes], list[int]]:
@@ -140,19 +146,15 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> tuple[list[bytes], list[int]]
         if not part.size:
             continue
         model, writer = _Model(len(part)), _Writer(len(part), part.shape[1])
-        steps = np.ascontiguousarray(part.T).astype(np.int64)
-        one = np.ones(len(part), np.int64)
+        steps = np.ascontiguousarray(part.T).astype(np.int32)
         for now in steps:
             counts, sums = model.predict()
             symbol = model.symbol(now)
             size = counts[model.lane, symbol]
             total = sums[:, -1]
-            writer.put(slice(None), sums[model.lane, symbol] - size, size, total)
             bits = np.where(symbol > 1, _REST[now], 0)
-            some = np.flatnonzero(bits)
-            if len(some):
-                own = np.left_shift(1, bits[some])
-                writer.put(some, now[some] & (own - 1), one[some], own)
+            rest = now & (np.left_shift(1, bits) - 1)
+            writer.put(sums[model.lane, symbol] - size, size, total, rest, bits)
             model.learn(now, symbol, total)
         coded += writer.finish()
     raw = ids.astype("<u2")
@@ -168,23 +170,16 @@ def decode(blocks: list[bytes], checks: list[int], length: int, block: int = BLO
             continue
         model, reader = _Model(len(some)), _Reader(some)
         steps = np.zeros((own, len(some)), np.uint16)
-        one = np.ones(len(some), np.int64)
         for i in range(own):
             counts, sums = model.predict()
             total = sums[:, -1]
-            value = reader.value(slice(None), total)
+            value = reader.value(total)
             symbol = (sums <= value[:, None]).sum(1)
             size = counts[model.lane, symbol]
-            reader.take(slice(None), sums[model.lane, symbol] - size, size)
             kind = np.maximum(symbol - 2, 0)
-            now = np.where(symbol > 1, _BASE[kind], model.held[0] >> 2)
-            now = np.where(symbol == 1, model.held[1] >> 2, now)
             bits = np.where(symbol > 1, np.maximum(kind - 1, 0), 0)
-            lanes = np.flatnonzero(bits)
-            if len(lanes):
-                rest = reader.value(lanes, np.left_shift(1, bits[lanes]))
-                reader.take(lanes, rest, one[lanes])
-                now[lanes] += rest
+            rest = reader.rest(sums[model.lane, symbol] - size, size, bits)
+            now = np.where(symbol == 0, model.held[0] >> 2, np.where(symbol == 1, model.held[1] >> 2, _BASE[kind] + rest))
             model.learn(now, symbol, total)
             steps[i] = now
         out[at : at + own * len(some)] = np.ascontiguousarray(steps.T).reshape(-1)

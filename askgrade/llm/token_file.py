@@ -25,7 +25,7 @@ from askgrade.session import materialise, new_path
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
-CHUNK_IDS = 1 << 21
+CHUNK_IDS = 1 << 22
 ENCODED_AT_ONCE = 100
 SCHEMA = "part int, chunk int, doc_ids array<long>, lengths array<long>, blocks array<binary>, checks array<long>"
 
