@@ -16,7 +16,7 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-REMEMBERED = 300_000
+REMEMBERED = 600_000  # in each of two generations; about 100 MB
 AT_ONCE = 20_000
 _CUT = re.compile(r"(?<=\S)(?= )")
 _BEFORE_SPACE = re.compile(r"\s ")
@@ -150,6 +150,8 @@ class Encoder:
                     first, rest = text, []  # spaces in a row: as one piece
             else:
                 first, *rest = text.split(" ")
+            if not self.byte_level:  # without marks for spaces the first piece is like the others
+                first, rest = "", [first, *rest]
             cut.append((first, rest))
             wanted.update(rest)
         new = self.pieces.missing(wanted)
