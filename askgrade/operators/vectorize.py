@@ -12,7 +12,7 @@ Two forms give the same numbers:
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import (
@@ -241,15 +241,11 @@ def fit_features(df: DataFrame, spec: FeatureSpec, column: str = "Body") -> Pipe
 
 
 def vectors_as_long(vectors: DataFrame, vocabulary_terms: list[str], column: str = "features") -> DataFrame:
-    """Sparse vectors as (Id, term, value) rows."""
+    """Sparse vectors as (Id, term, value) rows; the terms are joined as a table."""
     raw = F.unwrap_udt(F.col(column))
     pairs = F.arrays_zip(raw["indices"].alias("position"), raw["values"].alias("value"))
-    words = F.array(*[F.lit(t) for t in vocabulary_terms])
-    return vectors.select("Id", F.inline(pairs).alias("position", "value")).select(
-        "Id", F.get(words, F.col("position")).alias("term"), "value"
+    entries = vectors.select("Id", F.inline(pairs).alias("position", "value"))
+    names = vectors.sparkSession.createDataFrame(
+        list(enumerate(vocabulary_terms)), "position int, term string"
     )
-
-
-def without_bounds(spec: FeatureSpec) -> FeatureSpec:
-    """The same features over every term that occurs."""
-    return replace(spec, min_df=1, max_df=1.0)
+    return entries.join(names, "position").select("Id", "term", "value")

@@ -1,5 +1,8 @@
 """Golden strings and invariants of the text functions."""
 
+import random
+import re
+
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -206,3 +209,19 @@ def test_single_markers_keep_case_for_markup_kinds(spark):
 def test_scoring_preparation(spark):
     df = spark.createDataFrame([(1, "My Homework has 12 parts at 0x1f")], "Id long, Body string")
     assert prepare_for_scoring(df).first().Body == "my has_homework ha has_numer part at has_hexadecim"
+
+
+def test_whole_word_replacement_equals_a_plain_version(spark):
+    rng = random.Random(5)
+    tags = ["java", "c", "c#", "r", "node.js", "java-8", "é"]
+    rows = []
+    for i in range(120):
+        text = "".join(rng.choice(tags + [" ", ", ", "script", "_", "x"]) for _ in range(rng.randint(0, 25)))
+        rows.append((i, text, sorted(rng.sample(tags, 3), key=lambda t: (-len(t), t))))
+    df = spark.createDataFrame(rows, "Id int, Body string, own array<string>")
+    done = markers.replace_words(F.col("Body"), F.col("own"), " M ", match="token")
+    got = {r.Id: r.done for r in df.select("Id", done.alias("done")).collect()}
+    for i, text, own in rows:
+        for tag in own:
+            text = re.sub(rf"(?<!\w){re.escape(tag)}(?!\w)", " M ", text)
+        assert got[i] == text
