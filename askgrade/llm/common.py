@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from askgrade.session import materialise
 
-SLICE_BYTES = 1 << 21
-BATCH_ROWS = 1000
+SLICE_BYTES = 1 << 20
+BATCH_ROWS = 400
 
 
 def whole_texts(documents: DataFrame, *more: str) -> DataFrame:

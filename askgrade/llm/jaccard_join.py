@@ -95,12 +95,13 @@ _COUNTED_NAMES = ["doc_id", "n", "k1", "k2", "bits", *FOLDED, "chunk", "counts"]
 
 def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for every document, then the partition's counts of token classes in pieces."""
-    total = np.zeros(1 << CLASS_BITS, np.int64)
+    total = np.zeros(1 << CLASS_BITS, np.int32)
     any_ = False
     for batch in batches:
         for lo, hi, hashes, bounds, k1, k2 in _sets(batch.column("text")):
             any_ = True
-            total += np.bincount(_token_class(hashes), minlength=1 << CLASS_BITS)
+            found, counts = np.unique(_token_class(hashes), return_counts=True)
+            total[found] += counts.astype(np.int32)
             m = hi - lo
             bits, folded = _bitmaps(hashes, bounds)
             yield pa.RecordBatch.from_arrays(
@@ -112,7 +113,7 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 _COUNTED_NAMES,
             )
     if any_:
-        pieces = [zlib.compress(x.tobytes(), 1) for x in np.split(total.astype(np.int32), CHUNKS)]
+        pieces = [zlib.compress(x.tobytes(), 1) for x in np.split(total, CHUNKS)]
         empty = pa.nulls(CHUNKS, pa.int64())
         yield pa.RecordBatch.from_arrays(
             [

@@ -34,12 +34,12 @@ END_ID = 0
 
 def _pieces(vocabulary: str, end_id: int, capacity: int) -> Callable:
     def pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary).encode
+        coder = encoder(vocabulary)
         end = np.array([end_id], "<u4")
         for batch in batches:
             rows: list[tuple[int | None, int, int, int, int]] = []
             texts = batch.column("text").to_pylist()
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode(texts)):
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), coder.encode(texts)):
                 ids = np.concatenate([ids.astype("<u4"), end])
                 for piece, start in enumerate(range(0, len(ids), capacity)):
                     own = ids[start : start + capacity]
@@ -50,6 +50,7 @@ def _pieces(vocabulary: str, end_id: int, capacity: int) -> Callable:
                 [pa.array(list(c), k) for c, k in zip(columns, kinds)],
                 ["doc_id", "piece", "start", "length", "ids_crc32"],
             )
+        coder.rest()
 
     return pieces
 

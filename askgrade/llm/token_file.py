@@ -60,6 +60,7 @@ def _encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if waiting >= CHUNK_IDS:
                     yield _chunk(part, number, doc_ids, ids)
                     number, doc_ids, ids, waiting = number + 1, [], [], 0
+    coder.rest()
     if ids:
         yield _chunk(part, number, doc_ids, ids)
 
