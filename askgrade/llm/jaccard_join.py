@@ -132,10 +132,41 @@ def _add_up(chunk: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"chunk": [int(chunk["chunk"].iloc[0])], "counts": [zlib.compress(total.tobytes(), 1)]})
 
 
+def _add_up(chunk: pd.DataFrame) -> pd.DataFrame:
+    """Sums the counts of one piece; a running sum, whatever the number of partitions."""
+    total = np.zeros((1 << CLASS_BITS) // CHUNKS, np.int64)
+    for x in chunk["counts"]:
+        total += np.frombuffer(zlib.decompress(x), np.int32)
+    return pd.DataFrame({"chunk": [int(chunk["chunk"].iloc[0])], "counts": [zlib.compress(total.tobytes(), 1)]})
+
+
+def _sum_chunks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for every piece that occurs, with its counts added up; a running sum, so memory
+    holds CHUNKS pieces at most, whatever the number of rows."""
+    size = (1 << CLASS_BITS) // CHUNKS
+    totals: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for chunk, packed in zip(batch.column("chunk").to_pylist(), batch.column("counts")):
+            raw = zlib.decompress(packed.as_py())
+            counts = np.frombuffer(raw, np.int32 if len(raw) == 4 * size else np.int64)
+            if chunk not in totals:
+                totals[chunk] = np.zeros(size, np.int64)
+            totals[chunk] += counts
+    for chunk, total in totals.items():
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([chunk], pa.int32()), pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())],
+            ["chunk", "counts"],
+        )
+
+
 def frequent_classes(counted: DataFrame, least: int = 64) -> np.ndarray:
-    """One bit for every token class: count over ``least`` and twice the mean."""
-    rows = counted.where("chunk is not null").select("chunk", "counts")
-    rows = rows.groupBy("chunk").applyInPandas(_add_up, "chunk int, counts binary").collect()  # CHUNKS rows
+    """One bit for every token class: count over ``least`` and twice the mean.
+
+    Counts are added up where they lie, then by piece; CHUNKS rows reach the driver.
+    """
+    kind = "chunk int, counts binary"
+    rows = counted.where("chunk is not null").select("chunk", "counts").mapInArrow(_sum_chunks, kind)
+    rows = rows.repartition("chunk").mapInArrow(_sum_chunks, kind).collect()
     total = np.zeros((CHUNKS, (1 << CLASS_BITS) // CHUNKS), np.int64)
     for row in rows:
         total[row["chunk"]] = np.frombuffer(zlib.decompress(bytes(row["counts"])), np.int64)

@@ -93,10 +93,9 @@ def compare_with_next(documents: DataFrame) -> DataFrame:
         F.first(F.length("text")).alias("n"), F.first("doc_id").alias("doc_id"), F.count("*").cast("int").alias("copies")
     )
     ranked = numbered(narrow, ["k", "h"], "rank")
-    total = ranked.agg(F.count("*").alias("total"))
-    ranked = ranked.join(F.broadcast(total))  # one row
+    total = ranked.agg(F.count("*")).scalar()
     previous = ranked.select(
-        F.pmod(F.col("rank") + 1, F.col("total")).alias("rank"),
+        F.pmod(F.col("rank") + 1, total).alias("rank"),
         F.col("k").alias("prev_k"),
         F.col("h").alias("prev_h"),
         F.floor(F.col("n") / 4).cast("int").alias("wanted"),

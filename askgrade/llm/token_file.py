@@ -27,6 +27,7 @@ VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
 CHUNK_IDS = 1 << 22
 ENCODED_AT_ONCE = 100
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 SCHEMA = "part int, chunk int, doc_ids array<long>, lengths array<long>, blocks array<binary>, checks array<long>"
 
 
@@ -111,8 +112,12 @@ def round_trip(documents: DataFrame) -> DataFrame:
     spark = documents.sparkSession
     path = new_path(spark, "token-ids")
     write(documents, path)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4)  # a chunk is some megabytes
-    found = materialise(read(spark, path), "token-ids-read")
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, 4)  # a chunk is some megabytes
+    try:
+        found = materialise(read(spark, path), "token-ids-read")
+    finally:
+        spark.conf.set(_BATCH, before)
     return numbered(found, ["part", "chunk", "nth"], "start", F.col("n_tokens")).select(
         "doc_id", "start", "n_tokens", "ids_crc32"
     )
