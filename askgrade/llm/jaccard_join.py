@@ -23,7 +23,6 @@ import zlib
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -124,22 +123,6 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _add_up(chunk: pd.DataFrame) -> pd.DataFrame:
-    """Sums the counts of one piece; a running sum, whatever the number of partitions."""
-    total = np.zeros((1 << CLASS_BITS) // CHUNKS, np.int64)
-    for x in chunk["counts"]:
-        total += np.frombuffer(zlib.decompress(x), np.int32)
-    return pd.DataFrame({"chunk": [int(chunk["chunk"].iloc[0])], "counts": [zlib.compress(total.tobytes(), 1)]})
-
-
-def _add_up(chunk: pd.DataFrame) -> pd.DataFrame:
-    """Sums the counts of one piece; a running sum, whatever the number of partitions."""
-    total = np.zeros((1 << CLASS_BITS) // CHUNKS, np.int64)
-    for x in chunk["counts"]:
-        total += np.frombuffer(zlib.decompress(x), np.int32)
-    return pd.DataFrame({"chunk": [int(chunk["chunk"].iloc[0])], "counts": [zlib.compress(total.tobytes(), 1)]})
-
-
 def _sum_chunks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row for every piece that occurs, with its counts added up; a running sum, so memory
     holds CHUNKS pieces at most, whatever the number of rows."""
