@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from askgrade.session import materialise
 
 SLICE_BYTES = 1 << 20
+#: What a Python worker keeps for the next task of the same operator; others clear it first.
+HELD: dict = {}
 BATCH_ROWS = 400
 
 

@@ -16,6 +16,8 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
+from askgrade.llm.common import HELD
+
 REMEMBERED = 200_000  # in each of two generations; about 40 MB
 AT_ONCE = 20_000
 _CUT = re.compile(r"(?<=\S)(?= )")
@@ -180,11 +182,8 @@ def _odd(text: str) -> bool:
     return ("\x0b" in text or "\x0c" in text or not text.isascii()) and _BEFORE_SPACE.search(text) is not None
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(file: str) -> Encoder:
     """One for each Python worker and vocabulary file."""
-    if file not in _encoders:
-        _encoders[file] = Encoder(file)
-    return _encoders[file]
+    if file not in HELD:
+        HELD[file] = Encoder(file)
+    return HELD[file]
