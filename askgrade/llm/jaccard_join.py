@@ -34,7 +34,7 @@ from askgrade.session import materialise
 WORDS = 3
 CLASS_BITS = 22
 CHUNKS = 64
-LEAST = 10  # sets below this size differ too much from every other set
+LEAST = 9  # the smallest n with 100 n >= 90 (n + 1): smaller sets differ too much from every other set
 SALTS = 64
 BITS = 2048
 FOLDED = ("f0", "f1", "f2", "f3")

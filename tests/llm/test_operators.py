@@ -386,6 +386,18 @@ def test_jaccard_join_of_frequent_shingles(spark, edits):
     assert got == _jaccard(data)
 
 
+def test_jaccard_join_of_the_smallest_sets(spark):
+    """Nine shingles within ten are a link, eight within nine are none."""
+    data = []
+    for k, n in enumerate((10, 11, 12)):
+        own = [f"w{k}x{i}" for i in range(n)]
+        data += [(10 * k, " ".join(own), None, None, None), (10 * k + 1, " ".join([*own, "end"]), None, None, None)]
+        data.append((10 * k + 2, " ".join(["start", *own]), None, None, None))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.linked(table(spark, data)).collect()}
+    assert got == _jaccard(data)
+    assert [got[i][1] for i in (0, 1, 2, 10, 11, 12)] == [0, 1, 2, 10, 10, 10]
+
+
 # --- 10
 def test_class_lm_base(spark, unique):
     got = by_id(class_lm.scored(table(spark, unique)))
