@@ -1,9 +1,11 @@
-"""N-gram Jaccard join: documents whose sets of 3-word shingles overlap by at least 90 %.
+"""N-gram Jaccard join: documents whose sets of word shingles overlap by at least a given share.
+
+A ``Measure`` gives the words of a shingle and the share; ``t`` below is that share.
 
 1. Equal sets are one class; only classes are compared.
 2. Shingles fall into 2^22 token classes by their hash, and all documents' shingles are counted
    by class. A shingle of a class with a large count is frequent, any other rare. Rare shingles
-   come first in the global order, so a prefix of ``n - ceil(0.9 n) + 1`` shingles of any set
+   come first in the global order, so a prefix of ``n - ceil(t n) + 1`` shingles of any set
    holds one of those it shares with a partner.
 3. If that one is rare, both sets meet in the index of single rare shingles. If the partners
    share no rare shingle, they differ in fewer frequent ones than a set has groups when its
@@ -21,6 +23,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -31,28 +34,72 @@ from askgrade.llm.common import HELD, mixed, small_batches, text_slices, whole_t
 from askgrade.llm.components import components, small_side
 from askgrade.session import materialise
 
-WORDS = 3
 CLASS_BITS = 22
 CHUNKS = 64
-LEAST = 9  # the smallest n with 100 n >= 90 (n + 1): smaller sets differ too much from every other set
 SALTS = 64
 BITS = 2048
 FOLDED = ("f0", "f1", "f2", "f3")
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
-def _sets(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+@dataclass(frozen=True)
+class Measure:
+    """Shingles of ``words`` words; sets link when ``100 * intersection >= percent * union``."""
+
+    words: int
+    percent: int
+
+    @property
+    def least(self) -> int:
+        """The smallest n with n / (n + 1) >= t; smaller sets differ too much from every other set."""
+        return -(-self.percent // (100 - self.percent))
+
+    def needed(self, n: np.ndarray) -> np.ndarray:
+        """ceil(t n)"""
+        return (self.percent * n + 99) // 100
+
+    def band_of(self, n: np.ndarray) -> np.ndarray:
+        """Sizes within a factor t of each other are in the same or in adjacent bands."""
+        return np.floor(np.log(n) / np.log(100 / self.percent) + 1e-9).astype(np.int64)
+
+    def most_apart(self, band: int) -> int:
+        """The largest difference of two linked sets from this band and the next."""
+        both = 2 * (100 / self.percent) ** (band + 2)
+        return int(both * (100 - self.percent) / (100 + self.percent) + 1e-6) + 1
+
+    def apart(self, n: str, m: str) -> Column:
+        """The largest difference of two linked sets of these sizes."""
+        return F.floor((F.col(n) + F.col(m)).cast("long") * (100 - self.percent) / (100 + self.percent))
+
+    def sizes_fit(self, n: str, m: str) -> Column:
+        n, m = F.col(n).cast("long"), F.col(m).cast("long")
+        return (n * 100 >= m * self.percent) & (m * 100 >= n * self.percent)
+
+    def rare_fit(self) -> Column:
+        """Partners that share a combination only have no rare shingle in common."""
+        return ~F.col("combined") | (F.col("r") + F.col("q") <= self.apart("n", "m"))
+
+    def linked(self, both: str, sizes: str) -> Column:
+        """By the size of the intersection and the sum of both sizes."""
+        return 100 * F.col(both) >= self.percent * (F.col(sizes) - F.col(both))
+
+
+CONTRACT = Measure(3, 90)
+SHINGLES = Measure(5, 80)
+
+
+def _sets(texts: pa.Array, words_each: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Rows of a slice and their sets: sorted distinct hashes, offsets, and two keys of each set."""
     for lo, hi, data, offsets in text_slices(texts):
         words, _, first = word_hashes(data, offsets)
         counts = np.diff(first)
-        n = np.where(counts == 0, 0, np.maximum(counts - WORDS + 1, 1))
+        n = np.where(counts == 0, 0, np.maximum(counts - words_each + 1, 1))
         owner = np.repeat(np.arange(len(n)), n)
         place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[:-1], n)
-        padded = np.concatenate([words, np.zeros(WORDS, np.uint64)])
+        padded = np.concatenate([words, np.zeros(words_each, np.uint64)])
         short = np.repeat(counts, n)
         hashes = padded[place] * _M1
-        for i in range(1, WORDS):
+        for i in range(1, words_each):
             inside = short > i
             step = np.where(inside, padded[place + i], np.uint64(i))
             hashes = (mixed(hashes) + step) * _M1
@@ -92,36 +139,39 @@ _COUNTED = """doc_id long, n long, k1 long, k2 long, bits array<long>, f0 long,
 _COUNTED_NAMES = ["doc_id", "n", "k1", "k2", "bits", *FOLDED, "chunk", "counts"]
 
 
-def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for every document, then the partition's counts of token classes in pieces."""
-    HELD.clear()
-    total = np.zeros(1 << CLASS_BITS, np.int32)
-    any_ = False
-    for batch in batches:
-        for lo, hi, hashes, bounds, k1, k2 in _sets(batch.column("text")):
-            any_ = True
-            found, counts = np.unique(_token_class(hashes), return_counts=True)
-            total[found] += counts.astype(np.int32)
-            m = hi - lo
-            bits, folded = _bitmaps(hashes, bounds)
+def _count(measure: Measure) -> Callable:
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for every document, then the partition's counts of token classes in pieces."""
+        HELD.clear()
+        total = np.zeros(1 << CLASS_BITS, np.int32)
+        any_ = False
+        for batch in batches:
+            for lo, hi, hashes, bounds, k1, k2 in _sets(batch.column("text"), measure.words):
+                any_ = True
+                found, counts = np.unique(_token_class(hashes), return_counts=True)
+                total[found] += counts.astype(np.int32)
+                m = hi - lo
+                bits, folded = _bitmaps(hashes, bounds)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("doc_id").slice(lo, m), pa.array(np.diff(bounds)), pa.array(k1.view(np.int64)),
+                        pa.array(k2.view(np.int64)), bits, *folded, pa.nulls(m, pa.int32()),
+                        pa.nulls(m, pa.binary()),
+                    ],
+                    _COUNTED_NAMES,
+                )
+        if any_:
+            pieces = [zlib.compress(x.tobytes(), 1) for x in np.split(total, CHUNKS)]
+            empty = pa.nulls(CHUNKS, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id").slice(lo, m), pa.array(np.diff(bounds)), pa.array(k1.view(np.int64)),
-                    pa.array(k2.view(np.int64)), bits, *folded, pa.nulls(m, pa.int32()),
-                    pa.nulls(m, pa.binary()),
+                    empty, empty, empty, empty, pa.nulls(CHUNKS, pa.list_(pa.int64())), *[empty] * len(FOLDED),
+                    pa.array(np.arange(CHUNKS, dtype=np.int32)), pa.array(pieces, pa.binary()),
                 ],
                 _COUNTED_NAMES,
-            )
-    if any_:
-        pieces = [zlib.compress(x.tobytes(), 1) for x in np.split(total, CHUNKS)]
-        empty = pa.nulls(CHUNKS, pa.int64())
-        yield pa.RecordBatch.from_arrays(
-            [
-                empty, empty, empty, empty, pa.nulls(CHUNKS, pa.list_(pa.int64())), *[empty] * len(FOLDED),
-                pa.array(np.arange(CHUNKS, dtype=np.int32)), pa.array(pieces, pa.binary()),
-            ],
-            _COUNTED_NAMES,
-        )
+            )
+
+    return count
 
 
 def _sum_chunks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,35 +208,20 @@ def frequent_classes(counted: DataFrame, least: int = 64) -> np.ndarray:
     return np.packbits(total > least + 2 * total.mean())
 
 
-def _needed(n: np.ndarray) -> np.ndarray:
-    """ceil(0.9 n)"""
-    return (9 * n + 9) // 10
-
-
-def band_of(n: np.ndarray) -> np.ndarray:
-    """Sizes within a factor 0.9 of each other are in the same or in adjacent bands."""
-    return np.floor(np.log(n) / np.log(10 / 9) + 1e-9).astype(np.int64)
-
-
-def _most_apart(band: int) -> int:
-    """The largest difference of two linked sets from this band and the next."""
-    return int(2 * (10 / 9) ** (band + 2) / 19 + 1e-6) + 1
-
-
-def _postings(frequent_bits) -> Callable:
+def _postings(frequent_bits, measure: Measure) -> Callable:
     def postings(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = np.unpackbits(frequent_bits.value).astype(bool)
         seen: set[tuple[int, int]] = set()
         for batch in batches:
-            for _, _, hashes, bounds, k1, k2 in _sets(batch.column("text")):
+            for _, _, hashes, bounds, k1, k2 in _sets(batch.column("text"), measure.words):
                 chosen = []
                 for i, n in enumerate(np.diff(bounds)):
                     key = (int(k1[i]), int(k2[i]))
-                    if n >= LEAST and key not in seen:
+                    if n >= measure.least and key not in seen:
                         chosen.append(i)
                         if len(seen) < 1 << 17:  # only spares rows that would be dropped later
                             seen.add(key)
-                found = _index(hashes, bounds, np.array(chosen, np.int64), frequent)
+                found = _index(hashes, bounds, np.array(chosen, np.int64), frequent, measure)
                 for at in range(0, len(found[0]), 1 << 17):
                     sig, doc, r, combined = (x[at : at + (1 << 17)] for x in found)
                     yield pa.RecordBatch.from_arrays(
@@ -201,7 +236,7 @@ def _postings(frequent_bits) -> Callable:
     return postings
 
 
-def _index(hashes, bounds, chosen, frequent) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _index(hashes, bounds, chosen, frequent, measure) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Signatures, the row of each, its number of rare shingles, and whether it is a combination."""
     n = np.diff(bounds)
     is_chosen = np.zeros(len(n), bool)
@@ -211,7 +246,7 @@ def _index(hashes, bounds, chosen, frequent) -> tuple[np.ndarray, np.ndarray, np
     hashes, owner = hashes[use], owner[use]
     often = frequent[_token_class(hashes)]
     rare_number = np.bincount(owner[~often], minlength=len(n))
-    prefix = n - _needed(n) + 1
+    prefix = n - measure.needed(n) + 1
     r_hash, r_owner = hashes[~often], owner[~often]
     starts = np.searchsorted(r_owner, np.arange(len(n)))
     rank = np.arange(len(r_owner)) - starts[r_owner]
@@ -219,11 +254,11 @@ def _index(hashes, bounds, chosen, frequent) -> tuple[np.ndarray, np.ndarray, np
     parts = [(r_hash[single], r_owner[single], rare_number[r_owner[single]], np.zeros(int(single.sum()), bool))]
     f_hash, f_owner = hashes[often], owner[often]
     starts = np.searchsorted(f_owner, np.arange(len(n) + 1))
-    for i in np.flatnonzero(is_chosen & (rare_number <= n - _needed(n))):
+    for i in np.flatnonzero(is_chosen & (rare_number <= n - measure.needed(n))):
         mine = f_hash[starts[i] : starts[i + 1]]
-        own = int(band_of(n[i]))
+        own = int(measure.band_of(n[i]))
         for band in (own - 1, own):
-            apart = _most_apart(band)
+            apart = measure.most_apart(band)
             groups = apart + 2 + apart // 16
             group = (mixed(mine ^ np.uint64(band)) % np.uint64(groups)).astype(np.int64)
             sums = np.zeros(groups, np.uint64)
@@ -237,28 +272,22 @@ def _index(hashes, bounds, chosen, frequent) -> tuple[np.ndarray, np.ndarray, np
     return tuple(np.concatenate([p[j] for p in parts]) for j in range(4))
 
 
-def _set_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for lo, hi, hashes, bounds, k1, k2 in _sets(batch.column("text")):
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id").slice(lo, hi - lo), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)),
-                    pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(hashes.view(np.int64))),
-                ],
-                ["doc_id", "k1", "k2", "s"],
-            )
-
-
-def _sizes_fit(n: str, m: str) -> Column:
-    return (F.col(n) * 10 >= F.col(m) * 9) & (F.col(m) * 10 >= F.col(n) * 9)
-
+def _set_rows(measure: Measure) -> Callable:
+    def set_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, hashes, bounds, k1, k2 in _sets(batch.column("text"), measure.words):
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("doc_id").slice(lo, hi - lo), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)),
+                        pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(hashes.view(np.int64))),
+                    ],
+                    ["doc_id", "k1", "k2", "s"],
+                )
 
-def _rare_fit() -> Column:
-    """Partners that share a combination only have no rare shingle in common."""
-    return ~F.col("combined") | (F.col("r") + F.col("q") <= F.floor((F.col("n") + F.col("m")) / 19))
+    return set_rows
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, measure: Measure) -> DataFrame:
     """The pairs (``a, b``) that are links. Sets are made again from the texts of candidates only."""
     pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     first = nodes.select(F.col("node").alias("a"), F.col("n").alias("n1"), F.col("bits").alias("bits1"))
@@ -267,14 +296,14 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame
     places = F.aggregate(unlike, F.lit(0), lambda x, y: x + y)
     pairs = (
         pairs.join(first, "a").join(second, "b")
-        .where(_sizes_fit("n1", "n2") & (places <= F.floor((F.col("n1") + F.col("n2")) / 19)))
+        .where(measure.sizes_fit("n1", "n2") & (places <= measure.apart("n1", "n2")))
         .select("a", "b")
     )
     pairs = materialise(pairs, "jaccard-pairs")
     ends = materialise(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "jaccard-ends")
     sets = (
         small_batches(texts.join(small_side(ends), "doc_id"))
-        .mapInArrow(_set_rows, "doc_id long, k1 long, k2 long, s array<long>")
+        .mapInArrow(_set_rows(measure), "doc_id long, k1 long, k2 long, s array<long>")
         .join(nodes.select("node", "k1", "k2"), ["k1", "k2"])
         .where("doc_id = node")
         .select("node", "s")
@@ -286,22 +315,22 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame
         .join(sets.select(F.col("node").alias("b"), F.col("s").alias("s2")), "b")
         .select("a", "b", F.size(F.array_intersect("s1", "s2")).alias("i"), (F.size("s1") + F.size("s2")).alias("sum"))
     )
-    return both.where(100 * F.col("i") >= 90 * (F.col("sum") - F.col("i"))).select("a", "b")
+    return both.where(measure.linked("i", "sum")).select("a", "b")
 
 
-def linked(documents: DataFrame) -> DataFrame:
+def linked(documents: DataFrame, measure: Measure = CONTRACT) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row.
 
-    A set holds the distinct 3-word shingles of a whole text (words: runs without white space,
-    A-Z lower-cased), the whole sequence if it has fewer words. Sets link when
-    ``100 * intersection >= 90 * union``; ``component_id`` is the smallest id reachable. Null
+    A set holds the distinct shingles of a whole text (words: runs without white space, A-Z
+    lower-cased), the whole sequence if it has fewer words. Sets link by ``measure``, in the
+    registered query 3 words and 90 %; ``component_id`` is the smallest id reachable. Null
     and wordless texts have empty sets and link with nothing; so do rows with a null id, whose
     component is null. Rows of one id should be one
     document; if their texts differ, links of either count for the smallest id of equal texts.
     Equal texts are linked. An empty table gives an empty result.
     """
     texts = whole_texts(documents)
-    counted = materialise(small_batches(texts).mapInArrow(_count, _COUNTED), "jaccard-counted")
+    counted = materialise(small_batches(texts).mapInArrow(_count(measure), _COUNTED), "jaccard-counted")
     docs = counted.where("chunk is null").select("doc_id", "n", "k1", "k2", "bits", *FOLDED)
     linkable = docs.where("n > 0 and doc_id is not null")
     nodes = materialise(
@@ -314,7 +343,7 @@ def linked(documents: DataFrame) -> DataFrame:
     shared = texts.sparkSession.sparkContext.broadcast(frequent_classes(counted))
     with_ids = texts.where("doc_id is not null")
     postings = small_batches(with_ids).mapInArrow(
-        _postings(shared), "sig long, combined boolean, k1 long, k2 long, n int, r int"
+        _postings(shared, measure), "sig long, combined boolean, k1 long, k2 long, n int, r int"
     )
     salt = F.when(F.col("combined"), F.pmod(F.xxhash64("k1"), F.lit(SALTS))).otherwise(0).cast("int")
     # the rare ones of a class are few; combinations may be shared by many and are salted
@@ -335,7 +364,7 @@ def linked(documents: DataFrame) -> DataFrame:
         .union(heads)
         .where("other is not null")
         .select("combined", "k1", "k2", "n", "r", *[F.col(f"other.{x}").alias(y) for x, y in zip(("k1", "k2", "n", "r"), ("o1", "o2", "m", "q"))])
-        .where(_sizes_fit("n", "m") & _rare_fit())
+        .where(measure.sizes_fit("n", "m") & measure.rare_fit())
         .where("k1 <> o1 or k2 <> o2")
         .select("k1", "k2", "o1", "o2")
         .distinct()
@@ -343,7 +372,7 @@ def linked(documents: DataFrame) -> DataFrame:
     keys = nodes.select("k1", "k2", "node")
     first = first.join(keys, ["k1", "k2"]).select(F.col("node").alias("a"), F.col("o1").alias("k1"), F.col("o2").alias("k2"))
     first = first.join(keys, ["k1", "k2"])
-    links = materialise(_verified(first.select("a", F.col("node").alias("b")), nodes, texts), "jaccard-links")
+    links = materialise(_verified(first.select("a", F.col("node").alias("b")), nodes, texts, measure), "jaccard-links")
     found = components(links)
     rest = near.select("sig", "combined", "n", "r", "k1", "k2").join(keys, ["k1", "k2"])
     rest = rest.select("sig", "combined", "n", "r", "node")
@@ -353,17 +382,17 @@ def linked(documents: DataFrame) -> DataFrame:
     rest = materialise(rest.join(nodes.select("node", *FOLDED), "node"), "jaccard-open")
     # both sides are the same table, so its shuffle is made once
     one, two = rest.alias("one"), rest.alias("two")
-    apart = F.floor((F.col("one.n") + F.col("two.n")) / 19)
+    apart = measure.apart("one.n", "two.n")
     unlike = sum(F.bit_count(F.col(f"one.{x}").bitwiseXOR(F.col(f"two.{x}"))) for x in FOLDED)
     second = one.join(
         two,
         (F.col("one.sig") == F.col("two.sig"))
         & (F.col("one.component") < F.col("two.component"))
-        & _sizes_fit("one.n", "two.n")
+        & measure.sizes_fit("one.n", "two.n")
         & (~F.col("one.combined") | (F.col("one.r") + F.col("two.r") <= apart))
         & (unlike <= apart),
     ).select(F.col("one.node").alias("a"), F.col("two.node").alias("b"))
-    links = links.union(_verified(second, nodes, texts))
+    links = links.union(_verified(second, nodes, texts, measure))
     final = components(links, "component")
     classes = nodes.select("k1", "k2", "node").join(final, "node", "left")
     classes = classes.select("k1", "k2", F.coalesce("component", "node").alias("class_component"))
@@ -375,8 +404,8 @@ def linked(documents: DataFrame) -> DataFrame:
     )
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, measure: Measure = SHINGLES) -> DataFrame:
     """``docs`` without the documents whose component has a smaller id."""
-    found = linked(docs.select("doc_id", "text"))
+    found = linked(docs.select("doc_id", "text"), measure)
     gone = materialise(found.where("doc_id <> component_id").select("doc_id").distinct(), "jaccard-gone")
     return docs.join(small_side(gone), "doc_id", "left_anti").select(docs.columns)

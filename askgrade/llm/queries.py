@@ -73,7 +73,7 @@ def op8_exact_dedup(spark, sf_dir):
 
 @_query
 def op9_jaccard_join(spark, sf_dir):
-    return jaccard_join.linked(documents(spark, sf_dir))
+    return jaccard_join.linked(documents(spark, sf_dir), jaccard_join.CONTRACT)
 
 
 @_query

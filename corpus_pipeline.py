@@ -29,9 +29,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id stays."""
+    """Of each group of documents linked by 5-word shingles and 0.8 the one with the smallest id stays."""
     ship_package(spark)
-    return jaccard_join.one_of_each(docs)
+    return jaccard_join.one_of_each(docs, jaccard_join.SHINGLES)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

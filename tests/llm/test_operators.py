@@ -398,6 +398,63 @@ def test_jaccard_join_of_the_smallest_sets(spark):
     assert [got[i][1] for i in (0, 1, 2, 10, 11, 12)] == [0, 1, 2, 10, 10, 10]
 
 
+def _components_by(data, k, percent):
+    """Components by shingles of ``k`` words, every pair compared."""
+    sets = {}
+    for d, text, *_ in data:
+        w = words(text)
+        sets[d] = frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) or frozenset([tuple(w)] if w else [])
+    up = {d: d for d in sets}
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    ids = sorted(sets)
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            if sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                x, y = sorted((top(a), top(b)))
+                up[y] = x
+    return {d: (len(sets[d]), top(d)) for d in ids}
+
+
+def _near_copies():
+    """Copies of a text with few to many edits, frequent shingles, and the smallest sets."""
+    rng = random.Random(14)
+    data = []
+    for n in (30, 90, 150):
+        base = prose(rng, n).split()
+        for _ in range(50):
+            own = list(base)
+            for _ in range(rng.randint(0, n // 15)):
+                own[rng.randrange(len(own))] = rng.choice(base)
+            own = own[rng.randint(0, n // 12) :]
+            data.append((len(data), " ".join(own), None, None, None))
+    for k, n in enumerate((6, 7, 8, 9, 10)):
+        own = [f"w{k}x{i}" for i in range(n)]
+        for text in (own, [*own, "end"], ["start", *own]):
+            data.append((len(data), " ".join(text), None, None, None))
+    return data
+
+
+@pytest.mark.parametrize("k, percent", [(5, 80), (3, 90)])
+def test_jaccard_join_by_measure(spark, k, percent):
+    data = _near_copies()
+    found = jaccard_join.linked(table(spark, data), jaccard_join.Measure(k, percent))
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found.collect()} == _components_by(data, k, percent)
+
+
+def test_pipeline_drops_copies_by_five_words(spark):
+    """Many of these are copies by 5 words and 0.8 but not by 3 words and 0.9."""
+    data = _near_copies()
+    stage = dict(corpus_pipeline.STAGES)["n-gram Jaccard join"]
+    kept = {r.doc_id for r in stage(spark, table(spark, data), "").collect()}
+    wanted = {d for d, (_, top) in _components_by(data, 5, 80).items() if d == top}
+    assert kept == wanted and len(wanted) < len({top for _, top in _components_by(data, 3, 90).values()})
+
+
 # --- 10
 def test_class_lm_base(spark, unique):
     got = by_id(class_lm.scored(table(spark, unique)))
