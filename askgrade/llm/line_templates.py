@@ -2,10 +2,14 @@
 
 A line goes down a tree of fixed depth: by its number of tokens, then by its ``LEADING`` first
 tokens, where a token with a digit counts as the variable ``<*>``. In a leaf that lines of at
-least ``MIN_TEXTS`` different texts reach, a token that fewer texts have at its place is
-variable too; a line with enough constant tokens becomes a template that way, any other is its
-own template. A template that recurs in at least ``MIN_TEXTS`` different texts is dropped from
-every document but the first.
+least ``MIN_TEXTS`` different texts reach, a token that fewer than ``SUPPORT`` texts have at its
+place is variable too; a line with enough constant tokens becomes a template that way. Of the
+others, those with enough tokens that ``MIN_TEXTS`` texts have become templates by these, and
+any other is its own template. A template that recurs in at least ``MIN_TEXTS`` different texts
+is dropped from every document but the first.
+
+A line with fewer than ``MIN_TOKENS`` tokens, such as a paragraph in a script without spaces, is
+its own template, digits and all, if it has at least ``MIN_CHARS`` characters; shorter ones stay.
 
 Exact copies of a text count as one, so they do not make their own lines recur. Counting is by
 hashes and aggregated before each shuffle; only lines of leaves that recur take their tokens
@@ -22,11 +26,14 @@ from askgrade.llm.common import small_batches
 from askgrade.llm.components import small_side
 from askgrade.session import materialise
 
-MIN_TEXTS = 3
+MIN_TEXTS = 2
+SUPPORT = 3
 LEADING = 4
 MIN_TOKENS = 3
+MIN_CHARS = 6
 CONSTANT = 0.7
 VARIABLE = "<*>"
+_ENOUGH = rf"^\s*+\S++(?:\s++\S++){{{MIN_TOKENS - 1}}}"
 
 
 def _keys(df: DataFrame) -> DataFrame:
@@ -38,24 +45,25 @@ def _keys(df: DataFrame) -> DataFrame:
 
 
 def _masked(line: Column) -> Column:
-    """A line with single spaces and ``<*>`` for tokens with digits; most lines need neither."""
-    digits = F.when(line.rlike("[0-9]"), F.regexp_replace(line, r"(?<!\S)[^\s0-9]*+[0-9]\S*+", VARIABLE)).otherwise(line)
+    """A line with single spaces and, if it has enough tokens, ``<*>`` for those with digits; most lines need neither."""
+    variable = line.rlike("[0-9]") & line.rlike(_ENOUGH)
+    digits = F.when(variable, F.regexp_replace(line, r"(?<!\S)[^\s0-9]*+[0-9]\S*+", VARIABLE)).otherwise(line)
     spaces = F.regexp_replace(digits, r"\s+", " ")
     return F.trim(F.when(line.rlike(r"\s\s|[\t\x0B\f\r]"), spaces).otherwise(digits))
 
 
 def _lines(df: DataFrame) -> DataFrame:
-    """``__llm_k, __llm_h, pos, masked, n, leaf`` of lines with enough tokens."""
+    """``__llm_k, __llm_h, pos, masked, n, leaf`` of lines with enough tokens or characters."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     # made inside the generator, so that no later step repeats it
     lines = df.select("__llm_k", "__llm_h", F.posexplode(F.transform(F.split(text, "\n"), _masked)).alias("pos", "masked"))
     n = F.length("masked") - F.length(F.replace("masked", F.lit(" "), F.lit(""))) + 1
-    lines = lines.withColumn("n", n).where(F.col("n") >= MIN_TOKENS)
+    lines = lines.withColumn("n", n).where((F.col("n") >= MIN_TOKENS) | (F.length("masked") >= MIN_CHARS))
     return lines.withColumn("leaf", F.xxhash64("n", F.substring_index("masked", " ", LEADING)))
 
 
 def templates(docs: DataFrame, min_texts: int = MIN_TEXTS, constant: float = CONSTANT) -> tuple[DataFrame, DataFrame]:
-    """``(lines, recurring)``: ``__llm_k, __llm_h, pos, line_key`` of every line with enough tokens, and
+    """``(lines, recurring)``: ``__llm_k, __llm_h, pos, line_key`` of every line with enough tokens or characters, and
     ``line_key, template, texts, first`` of those whose template recurs in at least
     ``min_texts`` texts; ``first`` is the smallest id with that template."""
     keyed = _keys(docs.select("doc_id", "text"))
@@ -79,18 +87,33 @@ def templates(docs: DataFrame, min_texts: int = MIN_TEXTS, constant: float = CON
         "template-tokens",
     )
     support = tokens.groupBy("leaf", "place", "token").agg(F.sum("texts").alias("support"))
-    fixed = support.where((F.col("support") >= min_texts) & (F.col("token") != VARIABLE)).drop("support")
-    kept = tokens.join(fixed.withColumn("fixed", F.lit(True)), ["leaf", "place", "token"], "left")
+    fixed = support.where((F.col("support") >= min_texts) & (F.col("token") != VARIABLE))
+    kept = tokens.join(fixed, ["leaf", "place", "token"], "left")
+    # the order of tokens is in their places, so a sum of hashes names the template
+    place = F.xxhash64("place", "token").bitwiseAND(F.lit((1 << 40) - 1))
+    often = F.col("support") >= max(min_texts, SUPPORT)
     shape = kept.groupBy("leaf", "line_key").agg(
         F.count("*").alias("n"),
-        F.count("fixed").alias("constants"),
-        # the order of tokens is in their places, so a sum of hashes names the template
-        F.sum(F.when(F.col("fixed"), F.xxhash64("place", "token").bitwiseAND(F.lit((1 << 40) - 1)))).alias("shape"),
-    )
-    own = F.when(F.col("constants") >= F.col("n") * constant, F.xxhash64("leaf", "shape", "constants"))
-    named = counted.join(shape.select("line_key", F.coalesce(own, "line_key").alias("template")), "line_key")
+        F.count("support").alias("constants"), F.sum(F.when(F.col("support").isNotNull(), place)).alias("shape"),
+        F.count(F.when(often, 1)).alias("constants_often"), F.sum(F.when(often, place)).alias("shape_often"),
+    )
+    # lines alike in all their constants are alike in the frequent ones, so the latter make the larger groups
+    own = [
+        F.when(F.col(f"constants{x}") >= F.col("n") * constant, F.xxhash64("leaf", f"shape{x}", f"constants{x}"))
+        for x in ("_often", "")
+    ]
+    named = counted.join(shape.select("line_key", F.coalesce(*own, "line_key").alias("template")), "line_key")
     named = materialise(named, "template-named")
-    groups = named.groupBy("template").agg(F.sum("texts").alias("all_texts"), F.min("first").alias("all_first"))
+    groups = named.groupBy("template").agg(
+        F.sum("texts").alias("sum_texts"), F.min("first").alias("all_first"), F.count("*").alias("wordings")
+    )
+    groups = materialise(groups.where(F.col("sum_texts") >= min_texts), "template-groups")
+    # a text may have several wordings of a template
+    several = groups.where("wordings > 1").select("template")
+    several = materialise(named.join(several, "template").select("line_key", "template"), "template-wordings")
+    distinct = placed.join(small_side(several), "line_key").select("template", "__llm_h").distinct()
+    distinct = distinct.groupBy("template").agg(F.count("*").alias("distinct_texts"))
+    groups = groups.join(distinct, "template", "left").withColumn("all_texts", F.coalesce("distinct_texts", "sum_texts"))
     recurring = named.join(groups.where(F.col("all_texts") >= min_texts), "template").select(
         "line_key", "template", F.col("all_texts").alias("texts"), F.col("all_first").alias("first")
     )
@@ -114,7 +137,7 @@ def without_recurring(docs: DataFrame, min_texts: int = MIN_TEXTS) -> DataFrame:
 
     A null text stays null, an empty one empty; ``n_chars``, if there, follows the new text. Of
     rows with the first id of a template all keep it. Lines with fewer than ``MIN_TOKENS`` tokens
-    stay. A null id comes first of all ids. An empty table gives an empty result.
+    and ``MIN_CHARS`` characters stay. A null id comes first of all ids. An empty table gives an empty result.
     """
     placed, recurring = templates(docs, min_texts)
     gone = (

@@ -284,6 +284,36 @@ def test_line_templates(spark):
     assert out[21].text == data[9][1]
 
 
+def test_lines_of_two_texts(spark):
+    """Two texts are enough for a passage, a wording with a variable and a line without spaces."""
+    rng = random.Random(15)
+    passage = prose(rng, 60).replace("\n", " ")
+    asian = "東京は日本の首都であり人口は1400万人です"
+    other = "東京は日本の首都であり人口は9300万人です"
+    word = "report sent to a client {} on behalf of the whole team"
+    data = [
+        (1, f"{passage}\nalpha beta gamma\n{asian}", None, None, None),
+        (2, f"delta beta gamma\n{passage}\n{asian}", None, None, None),
+        (3, f"{other}\n" + word.format("ada"), None, None, None),
+        (4, word.format("bob") + "\nok ok", None, None, None),
+        (5, "ok ok\nthe only text with wording one of it all here now\nthe only text with wording two of it all here now", None, None, None),
+        (6, "ok ok\nthe only text with wording one of it all here now\nthe only text with wording two of it all here now", None, None, None),
+    ]
+    out = by_id(line_templates.without_recurring(table(spark, data)))
+    assert [out[i].text for i in (1, 3, 5, 6)] == [data[i - 1][1] for i in (1, 3, 5, 6)]
+    assert (out[2].text, out[4].text) == ("delta beta gamma", "ok ok")
+
+
+def test_texts_of_a_template_are_distinct(spark):
+    """Lines with a word of their own in one text do not recur; with a second text they do, in two."""
+    line = "written as usual by member {} for all the members of the board"
+    data = [(1, "\n".join(line.format(x) for x in ("ada", "bob", "cyd")), None, None, None)]
+    _, recurring = line_templates.templates(table(spark, data))
+    assert recurring.count() == 0
+    _, recurring = line_templates.templates(table(spark, [*data, (2, line.format("dan"), None, None, None)]))
+    assert {r.texts for r in recurring.collect()} == {2}
+
+
 def test_variable_tokens_without_digits(spark):
     data = [(i, f"report written for client {name} on behalf of the whole team", None, None, None) for i, name in enumerate("ada bob cyd dan".split())]
     out = by_id(line_templates.without_recurring(table(spark, data)))
