@@ -50,7 +50,10 @@ TAG = "spdx license identifier"
 TAG_SURE = 1.0
 _TAG_PLACE = re.compile(r"SPDX-License-Identifier:[ \t]*", re.IGNORECASE)
 _TOKEN = re.compile(r"[ \t]*(\(|\)|[A-Za-z0-9][A-Za-z0-9.+:-]*)")
-#: Families of identifiers; an identifier is one of these, or starts with one and a hyphen.
+_VERSION = re.compile(r"[A-Za-z].*-v?[0-9]")
+_LOOKS = re.compile(r"[0-9-]|[A-Z].*[A-Z]")
+_ALONE = re.compile(r"[ \t]*(?:(?:AND|OR|WITH)\b|[^\w \t(]|\Z)")
+#: Known families of identifiers; an identifier is one of these, or starts with one and a hyphen.
 FAMILIES = (
     "MIT", "Apache", "BSD", "ISC", "MPL", "EPL", "GPL", "LGPL", "AGPL", "CC0", "CC-BY",
     "Unlicense", "Zlib", "BSL", "LicenseRef",
@@ -69,15 +72,27 @@ def family(identifier: str) -> str | None:
     return max(found, key=len) if found else None
 
 
+def _named(token: str, last: str, stack: list[str], text: str, end: int) -> bool:
+    """Whether an unknown name that ends at ``end`` after the operator ``last`` (if any) is an identifier."""
+    if last and last != last.upper():
+        return _VERSION.search(token) is not None
+    if last and stack[-1] != "(":
+        return True
+    return _LOOKS.search(token) is not None or _ALONE.match(text, end) is not None
+
+
 def parse(text: str, start: int = 0) -> list[str]:
     """The license expression at ``start`` in postfix order; as much as is well formed.
 
-    It ends before a name that is neither a known identifier nor, after WITH, an exception, and
-    before an operator without a right operand. Open brackets end with the expression.
+    After WITH or an upper-case operator any name is taken, known or not. At the start and in a
+    bracket there, an unknown name needs the look of an identifier (``_LOOKS``) or has to stand
+    alone (``_ALONE``); after a lower-case operator, where prose may follow, it needs a version.
+    The expression ends before any other name, and before an operator without a right operand.
+    Open brackets end with the expression.
     """
     out: list[str] = []
     stack: list[str] = []
-    want, good = True, None
+    want, good, last = True, None, ""
     while (m := _TOKEN.match(text, start)) is not None:
         token = m[1]
         name = token.upper()
@@ -85,8 +100,8 @@ def parse(text: str, start: int = 0) -> list[str]:
             stack.append(token)
         elif want and name not in _BINDS and token != ")":
             after_with = bool(stack) and stack[-1] == "WITH"
-            token = token.rstrip(".:") or token
-            if not after_with and family(token) is None:
+            token = token.rstrip(".:-") or token
+            if not after_with and family(token) is None and not _named(token, last, stack, text, m.end()):
                 break
             out.append(token)
             want = False
@@ -98,7 +113,7 @@ def parse(text: str, start: int = 0) -> list[str]:
             while stack and stack[-1] != "(" and _BINDS[stack[-1]] >= _BINDS[name]:
                 out.append(stack.pop())
             stack.append(name)
-            want = True
+            want, last = True, token
         else:
             break
         start = m.end()

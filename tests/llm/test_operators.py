@@ -235,6 +235,20 @@ def test_license_expressions():
     assert found["labels"] == "gpl-3.0-only,mit"
 
 
+def test_unknown_license_identifiers():
+    parse, allowed = licenses.parse, licenses.permitted
+    for name in ("CDDL-1.0", "EUPL-1.2", "Artistic-2.0", "OFL-1.1", "PSF-2.0", "0BSD", "WTFPL", "Ruby", "curl"):
+        assert parse(name) == [name] and not allowed(parse(name))
+        assert parse(f"{name} */\nint x;") == [name] and parse(f"MIT AND {name}") == ["MIT", name, "AND"]
+        assert not allowed(parse(f"MIT AND {name}")) and allowed(parse(f"({name} OR MIT)"))
+        assert parse(f"({name} OR MIT) AND ISC") == [name, "MIT", "OR", "ISC", "AND"]
+    assert parse("MIT and CDDL-1.0") == ["MIT", "CDDL-1.0", "AND"]
+    assert parse("MIT and (see the file)") == ["MIT"] and parse("see LICENSE") == parse("(see LICENSE)") == []
+    assert parse("See the file") == [] and parse("MIT or Any later") == ["MIT"]
+    found = licenses.scan_text("# SPDX-License-Identifier: MIT AND CDDL-1.0\nimport x")
+    assert found["permitted"] is False and found["labels"] == "cddl-1.0,mit" and found["score"] == 1
+
+
 # --- 5
 def test_rules_separate_held_out_rows(spark):
     rng = random.Random(8)
