@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -126,3 +127,22 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     np.cumsum(_LOWER[data] * _powers(_BASE, len(data)), out=sums[1:])
     hashes = mixed((sums[ends] - sums[starts]) * _powers(_INVERSE, len(data) + 1)[starts])
     return hashes, ends - starts, np.searchsorted(starts, offsets)
+
+
+@contextmanager
+def arrow_batches(spark, rows: int, size: int = 16 << 20) -> Iterator[None]:
+    """Jobs started inside send at most ``rows`` rows or about ``size`` bytes (one row at least) in
+    an Arrow batch; the session's own settings are back afterwards."""
+    settings = {
+        "spark.sql.execution.arrow.maxRecordsPerBatch": rows,
+        "spark.sql.execution.arrow.maxBytesPerBatch": size,
+    }
+    before = {name: spark.conf.get(name) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+

@@ -64,3 +64,21 @@ from r join p using (source, lang, topic)"""
 
 
 ORACLE_SQL["op2_mix_to_target_weights"] = _mix()
+
+ORACLE_SQL["op11_lexical_search"] = r"""
+with d as (select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as terms, row_number() over () as row from documents where text is not null),
+i as (select item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as terms, row_number() over () as item from benchmark where text is not null),
+s as (select count(*)::bigint as n_docs, sum(len(terms))::bigint as length from d where len(terms) > 0),
+q as (select item, item_id, term, count(*)::bigint as k from (select item, item_id, unnest(terms) as term from i) group by all),
+e as (select doc_id, row, n, term, count(*)::bigint as tf
+  from (select doc_id, row, len(terms)::bigint as n, unnest(terms) as term from d)
+  where term in (select term from q) group by all),
+f as (select term, floor(1000 * ln((2 * n_docs + 2)::double / (2 * df + 1)::double))::bigint as w
+  from (select term, count(*)::bigint as df from e group by term), s),
+p as (select doc_id, row, term, (1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * n_docs) // length)) as impact from e, s),
+r as (select item, item_id, doc_id, row, sum(k * w * impact)::bigint as score
+  from q join f using (term) join p using (term) group by all),
+o as (select item_id, row_number() over (partition by item order by score desc, doc_id) as rank, doc_id, score from r where score > 0)
+select item_id, rank::int as rank, doc_id, score from o where rank <= 20"""

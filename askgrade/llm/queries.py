@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from askgrade.llm import class_lm, exact_dedup, jaccard_join, licenses, line_templates, packing, raking, rule_ensemble, spot_signatures, token_file
+from askgrade.llm import (
+    class_lm,
+    exact_dedup,
+    jaccard_join,
+    lexical_search,
+    licenses,
+    line_templates,
+    packing,
+    raking,
+    rule_ensemble,
+    spot_signatures,
+    token_file,
+)
 from askgrade.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +91,10 @@ def op9_jaccard_join(spark, sf_dir):
 @_query
 def op10_class_lm(spark, sf_dir):
     return class_lm.scored(documents(spark, sf_dir))
+
+
+@_query
+def op11_lexical_search(spark, sf_dir):
+    return lexical_search.search(
+        spark.read.parquet(f"{sf_dir}/benchmark.parquet"), documents(spark, sf_dir)
+    )
