@@ -17,6 +17,7 @@ from askgrade.llm import (
     packing,
     raking,
     rule_ensemble,
+    sharding,
     spot_signatures,
     token_file,
 )
@@ -98,3 +99,8 @@ def op11_lexical_search(spark, sf_dir):
     return lexical_search.search(
         spark.read.parquet(f"{sf_dir}/benchmark.parquet"), documents(spark, sf_dir)
     )
+
+
+@_query
+def op12_sampled_shards(spark, sf_dir):
+    return sharding.placed(documents(spark, sf_dir)).drop("place")
