@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from askgrade.llm import (
+    alignment,
     class_lm,
     exact_dedup,
     jaccard_join,
@@ -104,3 +105,8 @@ def op11_lexical_search(spark, sf_dir):
 @_query
 def op12_sampled_shards(spark, sf_dir):
     return sharding.placed(documents(spark, sf_dir)).drop("place")
+
+
+@_query
+def op13_token_alignment(spark, sf_dir):
+    return alignment.aligned(documents(spark, sf_dir))
