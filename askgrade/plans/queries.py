@@ -647,31 +647,23 @@ def m3a_svc_grid_search(spark, d):
 
 @query
 def m3b_sgd_grid_search(spark, d):
-    """The 96 of the 2,400 points that have one pair of df bounds, on 5 folds."""
-    points = [p for p in search.sgd_points() if (p["min_df"], p["max_df"]) == (0.05, 0.95)]
-    return _summary(search.search_linear(search.training_table(_quality(spark, d)), points))
+    """All 2,400 points on 5 folds."""
+    data = search.training_table(_quality(spark, d))
+    return _summary(search.search_linear(data, search.sgd_points()))
 
 
 @query
 def m7_linear_svc_grid_search(spark, d):
-    """Hinge and squared hinge over C with one feature setting and 100 iterations, on 5 folds."""
-    points = [
-        {"min_df": 0.05, "max_df": 1.0, "use_idf": True, "norm": "l2", "C": c, "n_iter": 100, "loss": loss}
-        for c in C.SVC_C
-        for loss in C.LINEAR_SVC_LOSS
-    ]
-    return _summary(search.search_linear(search.training_table(_quality(spark, d)), points))
+    """All 4,480 points of hinge and squared hinge on 5 folds."""
+    data = search.training_table(_quality(spark, d))
+    return _summary(search.search_linear(data, search.linear_svc_points()))
 
 
 @query
 def m8_all_losses_and_penalties(spark, d):
-    """Every loss, penalty, strength and iteration number on 5 folds: 120 points."""
-    points = [
-        p
-        for p in search.sgd_points(comparison=True)
-        if (p["min_df"], p["max_df"], p["use_idf"], p["norm"]) == (0.05, 1.0, True, "l2")
-    ]
-    return _summary(search.search_linear(search.training_table(_quality(spark, d)), points))
+    """All 9,600 points of five losses on 5 folds."""
+    data = search.training_table(_quality(spark, d))
+    return _summary(search.search_linear(data, search.sgd_points(comparison=True)))
 
 
 @query
@@ -726,9 +718,7 @@ def m11_marker_effects(spark, d):
     truth = adapters.predictions(spark, d).select("Id", "label")
     source = posts(spark, d).join(truth, "Id")
     variants = {m: datasets.single_marker(source, m) for m in datasets.SINGLE_MARKERS}
-    return compare.marker_effects(
-        datasets.stripped(source), variants, ENGLISH_SPEC, probability=False
-    )
+    return compare.marker_effects(datasets.stripped(source), variants, ENGLISH_SPEC)
 
 
 @query
