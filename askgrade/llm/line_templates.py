@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from askgrade.llm.common import small_batches
 from askgrade.llm.components import small_side
-from askgrade.session import materialise
+from askgrade.session import discard, materialise
 
 MIN_TEXTS = 2
 SUPPORT = 3
@@ -77,8 +77,11 @@ def templates(docs: DataFrame, min_texts: int = MIN_TEXTS, constant: float = CON
         texts.groupBy("leaf", "line_key").agg(F.count("*").alias("texts"), F.min("first").alias("first")),
         "template-counted",
     )
+    # the only wording of a leaf is a template by itself; the others are compared by their tokens
+    mixed = counted.groupBy("leaf").count().where(F.col("count") > 1).select("leaf")
+    mixed = small_side(materialise(mixed, "template-mixed"))
     wording = (
-        _lines(keyed).select("leaf", line_key, "masked").join(recur, "leaf")
+        _lines(keyed).select("leaf", line_key, "masked").join(mixed, "leaf")
         .groupBy("line_key").agg(F.first("masked").alias("masked"))
     )
     tokens = materialise(
@@ -102,8 +105,10 @@ def templates(docs: DataFrame, min_texts: int = MIN_TEXTS, constant: float = CON
         F.when(F.col(f"constants{x}") >= F.col("n") * constant, F.xxhash64("leaf", f"shape{x}", f"constants{x}"))
         for x in ("_often", "")
     ]
-    named = counted.join(shape.select("line_key", F.coalesce(*own, "line_key").alias("template")), "line_key")
-    named = materialise(named, "template-named")
+    named = counted.join(shape.select("line_key", F.coalesce(*own).alias("shape")), "line_key", "left")
+    named = materialise(named.withColumn("template", F.coalesce("shape", "line_key")).drop("shape"), "template-named")
+    for table in (tokens, counted, leaves):
+        discard(table)
     groups = named.groupBy("template").agg(
         F.sum("texts").alias("sum_texts"), F.min("first").alias("all_first"), F.count("*").alias("wordings")
     )
@@ -147,6 +152,8 @@ def without_recurring(docs: DataFrame, min_texts: int = MIN_TEXTS) -> DataFrame:
         .groupBy("__llm_k", "__llm_h").agg(F.collect_list("pos").alias("__llm_gone"))  # of one document
     )
     gone = materialise(gone, "template-gone")
+    for table in (recurring, placed):
+        discard(table)
     cut = F.arrow_udf(_without, "string")
     out = small_batches(_keys(docs).join(small_side(gone, 1 << 18), ["__llm_k", "__llm_h"], "left"))
     out = out.withColumn("text", cut(F.col("text").cast("string"), "__llm_gone"))
