@@ -1,14 +1,15 @@
 """Features, training, scoring: agreement of the two forms and sanity on separable text."""
 
 import math
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from askgrade.operators import linear, scoring, search, vectorize
-from askgrade.operators.split import to_binary
+from askgrade.operators import batched, calibrate, linear, metrics, scoring, search, vectorize
 from askgrade.operators.vectorize import FeatureSpec
+from askgrade.plans import compare
 from askgrade.session import new_path
 from askgrade.sources import registry
 from askgrade.streaming import score_stream
@@ -81,24 +82,152 @@ def test_grids():
         search.effective_c({"kernel": "rbf", "C": 1, "gamma": 1.0})
 
 
-def _numpy_gradient(loss, x, sign, w):
-    z = sign * (x @ w[:-1] + w[-1])
-    slope = linear._slope(loss, z) * sign
-    return np.append(x.T @ slope, slope.sum())
-
-
-def test_batched_gradient_equals_numpy(spark, texts):
-    features = vectorize.fit_features(texts, SPEC)
-    vectors = features.transform(texts).withColumn("y", to_binary(F.col("label"))).persist()
-    rows = vectors.select("y", "features").collect()
-    x = np.array([r.features.toArray() for r in rows])
-    sign = np.array([2 * r.y - 1 for r in rows])
-    losses = ["log", "hinge", "squared_hinge", "modified_huber", "perceptron"]
-    weights = np.random.default_rng(0).normal(size=(x.shape[1] + 1, len(losses)))
-    for pieces in (1, 100):  # with many pieces the sums are salted
-        got = linear._summed_gradients(linear.sparse_rows(vectors), weights, losses, pieces)
-        for k, loss in enumerate(losses):
-            assert np.allclose(got[:, k], _numpy_gradient(loss, x, sign, weights[:, k]))
+LOSSES = ["log", "hinge", "squared_hinge", "modified_huber", "perceptron"]
+SETTINGS = [SPEC, FeatureSpec(0.1, 0.9, False, "l1"), FeatureSpec(0.02, 1.0, norm=None), FeatureSpec(0.02, 1.0, twice=True)]
+
+
+def folded(texts, k=3):
+    return texts.withColumn("fold", (F.col("Id") % k).cast("int"))
+
+
+def dense(texts, spec, train):
+    """Rows, features and signs of the rows with these ids, features fitted on them."""
+    part = texts.where(F.col("Id").isin(train))
+    features = vectorize.fit_features(part, spec)
+    rows = features.transform(part).select("Id", "label", "features").orderBy("Id").collect()
+    return np.array([r.features.toArray() for r in rows]), np.array([float(r.label) for r in rows]), features
+
+
+@pytest.mark.parametrize("one_block", [8192, 16])
+def test_batched_gradient_equals_numpy(spark, texts, one_block):
+    """For every loss and setting, on all rows and without one fold, in one block and in several."""
+    counts = batched.count_table({"x": folded(texts)}, SETTINGS, 3, one_block)
+    assert (counts.n_blocks["x"] > 1) == (one_block == 16)
+    problems = [batched.Problem("x", held, s, loss, "l2", 0.01) for held in (None, 1) for s in SETTINGS for loss in LOSSES]
+    own = batched.slabs(counts, problems, 200)
+    assert len(own) >= 3
+    rng = np.random.default_rng(0)
+    weights = [rng.normal(size=s.zeros().shape) for s in own]
+    found = batched._pass(batched.Units(counts, own), weights, batched._gradient)
+    cache = {}
+    for i, slab in enumerate(own):
+        gradient = found[i].reshape(weights[i].shape)
+        for j, p in enumerate(slab.problems):
+            if (p.held, p.spec) not in cache:
+                cache[p.held, p.spec] = dense(texts, p.spec, [n for n in range(120) if p.held is None or n % 3 != p.held])
+            x, sign, _ = cache[p.held, p.spec]
+            kept = np.isin(slab.terms, np.flatnonzero(counts.weights("x", p.held, p.spec)))
+            w, b = weights[i][:-1][kept, j], weights[i][-1, j]
+            pull = linear._slope(p.loss, sign * (x @ w + b)) * sign
+            assert np.allclose(gradient[:-1][kept, j], x.T @ pull) and np.allclose(gradient[-1, j], pull.sum())
+            assert np.all(gradient[:-1][~kept, j] == 0)
+
+
+def test_sums_by_spark_equal_sums_by_the_driver(spark, texts, monkeypatch):
+    counts = batched.count_table({"x": folded(texts)}, [SPEC], 3, 16)
+    problems = [batched.Problem("x", None, SPEC, loss, "elasticnet", 0.01) for loss in LOSSES]
+    one = dict(batched.train_gradient(counts, problems, [2, 7]))
+    monkeypatch.setattr(batched, "DRIVER_CELLS", 0)
+    monkeypatch.setattr(batched, "_SLABS_AT_ONCE", 1)
+    two = dict(batched.train_gradient(counts, problems, [2, 7]))
+    monkeypatch.undo()
+    whole = batched.count_table({"x": folded(texts)}, [SPEC], 3)
+    three = dict(batched.train_gradient(whole, problems, [2, 7]))
+    for t in (2, 7):
+        for p in problems:
+            assert np.allclose(one[t][p].values, two[t][p].values, atol=1e-9)
+            assert np.allclose(one[t][p].values, three[t][p].values, atol=1e-9)
+
+
+def objective(loss, c, x, sign, w):
+    short = np.maximum(0.0, 1.0 - sign * (x @ w[:-1] + w[-1]))
+    return np.mean(short if loss == "hinge" else short**2) + (w @ w) / (2 * c * len(x))
+
+
+def plain_solver(loss, c, x, sign, epochs=800):
+    """Dual coordinate ascent, a row at a time in random order."""
+    rng = np.random.default_rng(3)
+    x = np.column_stack([x, np.ones(len(x))])
+    w, alpha = np.zeros(x.shape[1]), np.zeros(len(x))
+    lift, top = (0.0, 1.0) if loss == "hinge" else (0.5, np.inf)
+    for _ in range(epochs):
+        for i in rng.permutation(len(x)).tolist():
+            new = min(max(alpha[i] + (1 - sign[i] * (x[i] @ w) - lift * alpha[i]) / (x[i] @ x[i] * c + lift), 0.0), top)
+            w += (new - alpha[i]) * sign[i] * x[i] * c
+            alpha[i] = new
+    return w
+
+
+@pytest.mark.parametrize("one_block, strengths, epochs", [(8192, (0.01, 1.0, 10.0), 3000), (45, (0.01, 1.0), 600)])
+def test_dual_closes_the_gap_and_equals_a_plain_solver(spark, texts, one_block, strengths, epochs):
+    noisy = texts.withColumn("label", F.when(F.col("Id") % 10 == 0, -F.col("label")).otherwise(F.col("label")))
+    counts = batched.count_table({"x": folded(noisy)}, [SPEC], 3, one_block)
+    problems = [batched.Problem("x", None, SPEC, loss, c=c) for loss in ("hinge", "squared_hinge") for c in strengths]
+    (_, weights), = batched.train_dual(counts, problems, [epochs], 1e-3)
+    x, sign, _ = dense(noisy, SPEC, list(range(120)))
+    for p in problems:
+        kept = np.flatnonzero(counts.weights("x", None, SPEC))
+        got = objective(p.loss, p.c, x, sign, weights[p].of(kept, len(counts.vocabulary["x"])))
+        best = objective(p.loss, p.c, x, sign, plain_solver(p.loss, p.c, x, sign))
+        assert best - 1e-3 <= got <= best + max(1e-3, 0.01 * best)
+    with pytest.raises(ValueError):
+        next(batched.train_dual(counts, [batched.Problem("x", None, SPEC, "log", c=1.0)], [5]))
+
+
+def test_whole_grids_are_in_the_result(spark, texts):
+    for points in (search.sgd_points(), search.linear_svc_points()):
+        short = [p | {"n_iter": 1 + p["n_iter"] % 7} for p in points]  # every point, fewer passes
+        scores = search.search_linear(texts, short, k=2).scores
+        assert scores.select("point").distinct().count() == len(points)
+        assert scores.count() == 2 * len(points)
+
+
+def test_marker_effects_equal_separate_fits(spark, texts):
+    variants = {name: texts.withColumn("Body", F.concat("Body", F.lit(f" {name} "), F.when(F.col("Id") % n == 0, "bad thing").otherwise("")))
+                for name, n in (("one", 4), ("two", 7))}
+    points = [p for p in search.svc_points() if p["kernel"] == "linear" and p["C"] < 100]
+    together = compare.marker_effects(texts, variants, SPEC, points, k=2)
+    first = search.train(texts, "svc", SPEC, points, k=2, probability=False)
+    apart = {"baseline": first.predictions}
+    apart |= {n: search.retrain_with(v, first.search.best, SPEC, k=2, probability=False).predictions for n, v in variants.items()}
+    wanted = metrics.compare_with_baseline(metrics.metric_rows(apart), "baseline")
+    a = {(r.variant, r.metric): r for r in together.collect()}
+    b = {(r.variant, r.metric): r for r in wanted.collect()}
+    assert a.keys() == b.keys() and all(abs(a[k][c] - b[k][c]) < 1e-6 for k in a for c in ("value", "delta"))
+
+
+def plain_sigmoid(margin, sign):
+    good, bad = int((sign > 0).sum()), int((sign <= 0).sum())
+    t = np.where(sign > 0, (good + 1) / (good + 2), 1 / (bad + 2))
+    a, b = 0.0, math.log((bad + 1) / (good + 1))
+    for _ in range(200):
+        p = 1 / (1 + np.exp(np.clip(a * margin + b, -700, 700)))
+        g = np.array([(margin * (t - p)).sum(), (t - p).sum()])
+        q = p * (1 - p)
+        h = np.array([[(margin**2 * q).sum(), (margin * q).sum()], [(margin * q).sum(), q.sum()]]) + 1e-12 * np.eye(2)
+        a, b = np.array([a, b]) - np.linalg.solve(h, g)
+    return a, b
+
+
+@pytest.mark.parametrize("separable", [False, True])
+def test_sigmoid_equals_a_plain_fit(spark, separable):
+    rng = np.random.default_rng(1)
+    sign = np.where(rng.random(300) < 0.3, -1.0, 1.0)
+    margin = sign * rng.uniform(0.5, 2, 300) if separable else sign + rng.normal(size=300)
+    scored = spark.createDataFrame(list(zip(sign.tolist(), margin.tolist())), "sign double, margin double")
+    got, wanted = calibrate.fit_sigmoid(scored), plain_sigmoid(margin, sign)
+    assert np.all(np.isfinite(got)) and np.allclose(got, wanted, rtol=1e-4)
+    p = [r[0] for r in spark.createDataFrame([(-900.0,), (0.0,), (900.0,)], "m double").select(calibrate.probability(F.col("m"), *got)).collect()]
+    assert 0 <= p[0] < p[1] < p[2] <= 1
+    assert calibrate.fit_sigmoid(scored.limit(0)) == (0.0, 0.0)
+
+
+def test_parallel_calls_have_local_properties_of_their_own(spark):
+    def properties(_):
+        time.sleep(0.2)
+        return spark._jvm.System.identityHashCode(spark.sparkContext._jsc.sc().getLocalProperties())
+
+    assert len(set(search.in_parallel(spark, properties, list(range(6)), 6))) == 6
 
 
 def test_sgd_search_learns_and_persists(spark, texts):
