@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -18,6 +20,23 @@ HELD: dict = {}
 BATCH_ROWS = 400
 
 
+def give_back() -> None:
+    """Return memory that a Python worker no longer uses, since another step may run in it next."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this C library
+        return
+
+
+def let_go() -> None:
+    """Drop what another operator kept in this worker."""
+    if HELD:
+        HELD.clear()
+        give_back()
+
+
 def whole_texts(documents: DataFrame, *more: str) -> DataFrame:
     """``doc_id`` and ``text`` (null: empty), and the named columns; any others are left behind,
     so that extra columns cannot clash with an operator's own."""

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from askgrade.llm.common import HELD, mixed, small_batches, text_slices, whole_texts, word_hashes
+from askgrade.llm.common import let_go, mixed, small_batches, text_slices, whole_texts, word_hashes
 from askgrade.llm.components import components, small_side
 from askgrade.session import materialise
 
@@ -142,7 +142,7 @@ _COUNTED_NAMES = ["doc_id", "n", "k1", "k2", "bits", *FOLDED, "chunk", "counts"]
 def _count(measure: Measure) -> Callable:
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for every document, then the partition's counts of token classes in pieces."""
-        HELD.clear()
+        let_go()
         total = np.zeros(1 << CLASS_BITS, np.int32)
         any_ = False
         for batch in batches:

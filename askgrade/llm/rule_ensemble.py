@@ -22,7 +22,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from askgrade.llm.common import HELD, SPACES, small_batches, text_slices, word_hashes
+from askgrade.llm.common import SPACES, let_go, small_batches, text_slices, word_hashes
 
 MAX_FIT_ROWS = 20_000
 TREES, DEPTH, LASSO, SEED = 24, 3, 0.002, 7
@@ -51,7 +51,7 @@ def _per_text(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def _statistics(texts: pa.Array) -> pa.Array:
-    HELD.clear()
+    let_go()
     found: list[np.ndarray] = []
     for _, _, data, offsets in text_slices(texts):
         size = np.maximum(np.diff(offsets), 1)

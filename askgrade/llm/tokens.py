@@ -16,7 +16,7 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from askgrade.llm.common import HELD
+from askgrade.llm.common import HELD, give_back
 
 REMEMBERED = 200_000  # in each of two generations; about 40 MB
 AT_ONCE = 20_000
@@ -175,6 +175,7 @@ class Encoder:
         """Give memory back between tasks, since another step may run in this worker next."""
         self.pieces.rest()
         self.words.rest()
+        give_back()
 
 
 def _odd(text: str) -> bool:
