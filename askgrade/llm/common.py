@@ -87,20 +87,29 @@ SPACES[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint64)
 _LOWER[65:91] += 32
 _LOWER += 1
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_POWERS: dict[int, np.ndarray] = {}
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    known = _POWERS.get(base)
+#: Word hashes are polynomials modulo these primes; modulo a power of two, polynomials of some pairs
+#: of long regular words are equal for every base.
+_PRIMES = ((1 << 31) - 1, (1 << 31) - 19)
+_BASES = (1_318_699_003, 1_702_766_719)
+#: As many products of a letter and a power can be added up in 64 bits.
+_ADDABLE = 1 << 23
+_POWERS: dict[tuple[int, int], np.ndarray] = {}
+
+
+def _powers(base: int, prime: int, n: int) -> np.ndarray:
+    """``base ** i`` modulo ``prime`` for ``i < n``."""
+    known = _POWERS.get((base, prime))
     if known is None or len(known) < n:
-        with np.errstate(over="ignore"):
-            known = np.full(max(n, SLICE_BYTES), np.uint64(base))
-            known[0] = 1
-            known = np.multiply.accumulate(known)
+        size = max(n, SLICE_BYTES)
+        known = np.ones(size, np.uint32)
+        done = 1
+        while done < size:
+            more = min(done, size - done)
+            step = np.uint64(pow(base, done, prime))
+            known[done : done + more] = known[:more].astype(np.uint64) * step % np.uint64(prime)
+            done += more
         if n <= 2 * SLICE_BYTES:
-            _POWERS[base] = known
+            _POWERS[base, prime] = known
     return known[:n]
 
 
@@ -142,9 +151,17 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     cuts = offsets[1:-1]
     after[cuts[cuts > 0] - 1] = False
     ends = np.flatnonzero(word & ~after) + 1
+    letters = _LOWER[data]
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_LOWER[data] * _powers(_BASE, len(data)), out=sums[1:])
-    hashes = mixed((sums[ends] - sums[starts]) * _powers(_INVERSE, len(data) + 1)[starts])
+    parts = []
+    for base, prime in zip(_BASES, _PRIMES):
+        values = letters * _powers(base, prime, len(data))
+        if len(data) > _ADDABLE:
+            values %= np.uint64(prime)
+        np.cumsum(values, out=sums[1:])
+        back = _powers(pow(base, -1, prime), prime, len(data) + 1)[starts]
+        parts.append((sums[ends] - sums[starts]) % np.uint64(prime) * back % np.uint64(prime))
+    hashes = mixed((parts[0] << np.uint64(32)) | parts[1])
     return hashes, ends - starts, np.searchsorted(starts, offsets)
 
 

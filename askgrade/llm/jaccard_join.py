@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from askgrade.llm.common import let_go, mixed, small_batches, text_slices, whole_texts, word_hashes
 from askgrade.llm.components import components, small_side
-from askgrade.session import materialise
+from askgrade.session import discard, materialise
 
 CLASS_BITS = 22
 CHUNKS = 64
@@ -288,7 +288,7 @@ def _set_rows(measure: Measure) -> Callable:
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, measure: Measure) -> DataFrame:
-    """The pairs (``a, b``) that are links. Sets are made again from the texts of candidates only."""
+    """The pairs (``a, b``) that are links, as a table. Sets are made again from the texts of candidates only."""
     pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     first = nodes.select(F.col("node").alias("a"), F.col("n").alias("n1"), F.col("bits").alias("bits1"))
     second = nodes.select(F.col("node").alias("b"), F.col("n").alias("n2"), F.col("bits").alias("bits2"))
@@ -315,7 +315,10 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, measure: Mea
         .join(sets.select(F.col("node").alias("b"), F.col("s").alias("s2")), "b")
         .select("a", "b", F.size(F.array_intersect("s1", "s2")).alias("i"), (F.size("s1") + F.size("s2")).alias("sum"))
     )
-    return both.where(measure.linked("i", "sum")).select("a", "b")
+    links = materialise(both.where(measure.linked("i", "sum")).select("a", "b"), "jaccard-links")
+    for table in (pairs, ends, sets):
+        discard(table)
+    return links
 
 
 def linked(documents: DataFrame, measure: Measure = CONTRACT) -> DataFrame:
@@ -372,7 +375,7 @@ def linked(documents: DataFrame, measure: Measure = CONTRACT) -> DataFrame:
     keys = nodes.select("k1", "k2", "node")
     first = first.join(keys, ["k1", "k2"]).select(F.col("node").alias("a"), F.col("o1").alias("k1"), F.col("o2").alias("k2"))
     first = first.join(keys, ["k1", "k2"])
-    links = materialise(_verified(first.select("a", F.col("node").alias("b")), nodes, texts, measure), "jaccard-links")
+    links = _verified(first.select("a", F.col("node").alias("b")), nodes, texts, measure)
     found = components(links)
     rest = near.select("sig", "combined", "n", "r", "k1", "k2").join(keys, ["k1", "k2"])
     rest = rest.select("sig", "combined", "n", "r", "node")
@@ -380,6 +383,8 @@ def linked(documents: DataFrame, measure: Measure = CONTRACT) -> DataFrame:
     open_ = rest.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
     rest = rest.join(open_.select("sig"), "sig", "left_semi").distinct()
     rest = materialise(rest.join(nodes.select("node", *FOLDED), "node"), "jaccard-open")
+    for table in (near, found):
+        discard(table)
     # both sides are the same table, so its shuffle is made once
     one, two = rest.alias("one"), rest.alias("two")
     apart = measure.apart("one.n", "two.n")
@@ -392,16 +397,22 @@ def linked(documents: DataFrame, measure: Measure = CONTRACT) -> DataFrame:
         & (~F.col("one.combined") | (F.col("one.r") + F.col("two.r") <= apart))
         & (unlike <= apart),
     ).select(F.col("one.node").alias("a"), F.col("two.node").alias("b"))
-    links = links.union(_verified(second, nodes, texts, measure))
-    final = components(links, "component")
+    more = _verified(second, nodes, texts, measure)
+    discard(rest)
+    final = components(links.union(more), "component")
     classes = nodes.select("k1", "k2", "node").join(final, "node", "left")
     classes = classes.select("k1", "k2", F.coalesce("component", "node").alias("class_component"))
-    return docs.join(classes, ["k1", "k2"], "left").select(
+    result = docs.join(classes, ["k1", "k2"], "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("class_component"))
         .otherwise(F.col("doc_id")).alias("component_id"),
     )
+    result = materialise(result, "jaccard-result")
+    shared.unpersist()
+    for table in (counted, nodes, links, more, final):
+        discard(table)
+    return result
 
 
 def one_of_each(docs: DataFrame, measure: Measure = SHINGLES) -> DataFrame:

@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from askgrade import session
 from askgrade.llm import (
     class_lm,
+    common,
     exact_dedup,
     jaccard_join,
     licenses,
@@ -442,6 +444,35 @@ def test_jaccard_join_of_the_smallest_sets(spark):
     assert [got[i][1] for i in (0, 1, 2, 10, 11, 12)] == [0, 1, 2, 10, 10, 10]
 
 
+def _thue_morse(n: int, letters: str) -> str:
+    return "".join(letters[i.bit_count() & 1] for i in range(n))
+
+
+def test_word_hashes_tell_regular_words_apart(monkeypatch):
+    """Words whose polynomials modulo a power of two are equal for every base."""
+    texts = [_thue_morse(n, ab) for n in (512, 1024, 2048, 4096) for ab in ("ab", "ba")] + ["A b", "a  B\n", "b a"]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.cumsum([0, *map(len, texts)])
+    hashes, lengths, first = common.word_hashes(data, offsets)
+    assert len(set(hashes[:8].tolist())) == 8 and lengths[:8].tolist() == [len(t) for t in texts[:8]]
+    assert hashes[8] == hashes[10] == hashes[13] and hashes[9] == hashes[11] == hashes[12]
+    assert first.tolist() == [0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 14]
+    monkeypatch.setattr(common, "_ADDABLE", 1)  # as for very long texts
+    assert common.word_hashes(data, offsets)[0].tolist() == hashes.tolist()
+
+
+def test_jaccard_join_of_regular_words(spark):
+    data = [(i, _thue_morse(4096, ab), None, None, None) for i, ab in enumerate(("ab", "ba", "ab"))]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.linked(table(spark, data)).collect()}
+    assert got == _jaccard(data) == {0: (1, 0), 1: (1, 1), 2: (1, 0)}
+
+
+def test_jaccard_join_leaves_its_result_only(spark, unique, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "work_dir", lambda _: str(tmp_path))
+    jaccard_join.linked(table(spark, unique)).count()
+    assert [f.name.rsplit("-", 1)[0] for f in tmp_path.iterdir()] == ["jaccard-result"]
+
+
 def _components_by(data, k, percent):
     """Components by shingles of ``k`` words, every pair compared."""
     sets = {}
