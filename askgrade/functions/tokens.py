@@ -13,9 +13,11 @@ from askgrade.constants import WHITESPACE_CHARS
 
 # --- fixed values: splitting rules, in the order they apply.  They use only the
 # regex subset that Java and RE2 share, so other engines can run the same list.
-BEFORE_APOSTROPHES = [
+FULL_STOP = [
     # full stop at the end of a sentence
     (r"""([^.])\.([\])}>"']*)(\s+|$)""", r"$1 . $2 "),
+]
+BEFORE_APOSTROPHES = [
     # punctuation, brackets, quotes, dashes, ellipsis
     (r"""(\.\.\.|--|``|''|[;@#$%&?!\[\](){}<>"])""", r" $1 "),
     # comma and colon, unless a digit follows
@@ -31,7 +33,7 @@ APOSTROPHES = [
 AFTER_APOSTROPHES = [
     (r"(?i)\b(?:(can)(not)|(gim|lem)(me)|(gon|wan)(na)|(got)(ta))\b", r" $1$3$5$7 $2$4$6$8 "),
 ]
-RULES = BEFORE_APOSTROPHES + APOSTROPHES + AFTER_APOSTROPHES
+RULES = FULL_STOP + BEFORE_APOSTROPHES + APOSTROPHES + AFTER_APOSTROPHES
 
 
 def _apply(text: Column, rules) -> Column:
@@ -40,8 +42,22 @@ def _apply(text: Column, rules) -> Column:
     return text
 
 
+def full_stops_cut(text: Column) -> Column:
+    """Every full stop before white space or at the end stands alone."""
+    return _apply(text, FULL_STOP)
+
+
 def word_tokens(text: Column) -> Column:
-    """Distinct word tokens of a text, as an array in order of first occurrence."""
+    """Distinct word tokens of a text, as an array in order of first occurrence.
+
+    Every full stop before white space counts as the end of a sentence;
+    ``operators.sentences`` learns abbreviations and keeps theirs.
+    """
+    return word_tokens_of_cut(full_stops_cut(text))
+
+
+def word_tokens_of_cut(text: Column) -> Column:
+    """The word tokens of a text whose full stops at sentence ends stand alone already."""
     spaced = _apply(text, BEFORE_APOSTROPHES)
     has_apostrophe = F.contains(text, F.lit("'"))
     spaced = F.when(has_apostrophe, _apply(spaced, APOSTROPHES)).otherwise(spaced)

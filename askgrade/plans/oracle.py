@@ -89,6 +89,28 @@ def _tokens(x: str) -> str:
     return f"list_distinct(list_filter(string_split_regex({x}, '\\s+'), lambda w: w <> ''))"
 
 
+# --- fixed values: what may stand around a word
+AROUND = r"""^[ \t\n\f\r"'(<\[{]+|[] \t\n\f\r"')}>,;:!?]+$"""
+
+
+def _bare(x: str) -> str:
+    return _replace_all(f"lower({x})", AROUND, "")
+
+
+def _abbreviations(source: str, column: str) -> str:
+    """CTEs up to ``abbr (word, with_stop, without, score)``: scores by logarithms' sums."""
+    return f"""bare as (select {_bare(f"unnest(string_split_regex({column}, '[ \t\n\f\r]+'))")} as b from {source}),
+typed as (select {_replace_all('b', '[.]$', '', '')} as word, b like '%.' and b not like '%..' as stop from bare),
+counts as (select word, count(*) filter (where stop) as with_stop, count(*) filter (where not stop) as without
+  from typed where regexp_matches(word, '\\p{{L}}') and word not like '%.' group by word),
+share as (select sum(with_stop) / sum(with_stop + without) as p from counts),
+parts as (select word, with_stop, without, len(word) - len(replace(word, '.', '')) as dots,
+  with_stop * ln(0.99 / greatest(p, 1e-12)) + without * ln(0.01 / greatest(1 - p, 1e-12)) as gain
+  from counts, share where with_stop > 0),
+abbr as (select word, with_stop, without, score from (select *, 2 * gain * (dots + 1) / exp(len(word) - dots)
+  * pow(cast(len(word) - dots as double), -without) as score from parts) where score >= 0.3)"""
+
+
 def _by_length(words: str) -> str:
     keyed = f"list_transform({words}, lambda w: {{'l': -length(w), 'w': w}})"
     return f"list_transform(list_sort({keyed}), lambda s: s.w)"
@@ -292,6 +314,20 @@ _add("t6_hexadecimal_marker", f"select Id, {_hex('Body')} as Body from raw", BAS
 _add("t7_numeric_marker", f"select Id, {_numeric('Body')} as Body from raw", BASE)
 _add("t8_word_tokens", f"""select Id, cast(len(k) as integer) as tokens,
   md5(array_to_string(list_sort(k), ' ')) as digest from (select Id, {_tokens('Body')} as k from stripped)""")
+_add("t8_abbreviations", f"""with {_abbreviations('documents', 'text')}
+  select word, with_stop, without, round(score, 6) as score from abbr""", "")
+_CUT = _replace_all("x", *TOKEN_RULES[0])
+_SENTENCES = "array_to_string(y, '')"
+for _pattern, _replacement in TOKEN_RULES[1:]:
+    _SENTENCES = _replace_all(_SENTENCES, _pattern, _replacement)
+_add("t8_sentence_tokens", f"""{ALL}, {_abbreviations('stripped', 'Body')},
+  t8_known as (select coalesce(list(word), []) as k from abbr),
+  t8_pieces as (select Id, regexp_extract_all(Body, '\\s*[^ \t\n\f\r]+\\s*') as x from stripped),
+  t8_cut as (select Id, list_transform(x, lambda x, i: case when i < len(t8_pieces.x) and b.d[i] like '%.' and b.d[i] not like '%..'
+      and (regexp_matches(b.d[i], '^\\p{{L}}[.]$') or list_contains(k, b.d[i][:-2])) then x else {_CUT} end) as y
+    from t8_pieces, t8_known, lateral (select list_transform(t8_pieces.x, lambda w: {_bare('w')}) as d) b),
+  t8_tokens as (select Id, list_filter(list_distinct(string_split_regex({_SENTENCES}, '\\s+')), lambda w: w <> '') as t from t8_cut)
+  select Id, cast(len(t) as integer) as tokens, md5(array_to_string(list_sort(t), ' ')) as digest from t8_tokens""", "")
 _add("t9_tag_array", f"""select Id, cast(len(own) as integer) as n, array_to_string(own, ',') as tags
   from (select Id, {_own('Tags')} as own from posts)""", BASE)
 _add("t10_replace_words", f"""select Id, {_fold('Body', _hits('own', 'k'), ' M ')} as Body

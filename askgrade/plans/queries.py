@@ -15,7 +15,7 @@ from askgrade import constants as C
 from askgrade.functions import html, markers
 from askgrade.functions.stem import stem_text
 from askgrade.functions.tokens import word_tokens
-from askgrade.operators import datasets, metrics, questions, scoring, search, split, vectorize
+from askgrade.operators import datasets, metrics, questions, scoring, search, sentences, split, vectorize
 from askgrade.operators.clean import clean, prepare_for_scoring, stemmed
 from askgrade.operators.vectorize import FeatureSpec
 from askgrade.plans import adapters, compare
@@ -360,6 +360,23 @@ def t8_word_tokens(spark, d):
     )
 
 
+@query
+def t8_abbreviations(spark, d):
+    """The abbreviations that all documents teach."""
+    found = sentences.abbreviations(adapters.texts(spark, d, "documents"), "text")
+    return found.select("word", "with_stop", "without", *_six("score"))
+
+
+@query
+def t8_sentence_tokens(spark, d):
+    """Word tokens cut sentence by sentence, with the abbreviations of the same texts."""
+    texts = materialise(stripped(spark, d).select("Id", "Body"), "t8-input")
+    words = F.array_sort(F.col("tokens"))
+    return sentences.with_sentence_tokens(texts, sentences.abbreviations(texts)).select(
+        "Id", F.size(words).alias("tokens"), F.md5(F.array_join(words, " ")).alias("digest")
+    )
+
+
 @query
 def t9_tag_array(spark, d):
     own = markers.tag_array(F.col("Tags"))

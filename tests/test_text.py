@@ -1,7 +1,9 @@
 """Golden strings and invariants of the text functions."""
 
+import math
 import random
 import re
+from collections import Counter
 
 import pytest
 from hypothesis import given
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 
 from askgrade.functions import html, markers, tokens
 from askgrade.functions.stem import stem_text, stem_word
+from askgrade.operators import sentences
 from askgrade.operators.clean import clean, prepare_for_scoring
 from askgrade.operators.datasets import single_marker, stripped
 
@@ -91,6 +94,70 @@ def test_word_tokens(spark):
     assert "decimal" not in words and "c#" not in words
 
 
+LEARNT = [
+    "see fig. 3 and fig. 4 for this. we met dr. who at ten. it ends here.",
+    "use a list, e.g. x or e.g. y, in fig. 5. the dr. was out (cf. fig. 6). j. smith came.",
+    "the fig. 7 shows more. the list was here and this was more. wait... what? yes",
+    "a word. the word is a word and the words are words",
+    "",
+    None,
+] * 3
+
+
+def _plain_abbreviations(texts):
+    """The published score, word by word."""
+    stops, plain = Counter(), Counter()
+    for text in texts:
+        for piece in (text or "").lower().split():
+            bare = piece.lstrip("\"'([{<").rstrip("\"')]}>,;:!?")
+            ends = bare.endswith(".") and not bare.endswith("..")
+            word = bare[:-1] if ends else bare
+            if any(c.isalpha() for c in word) and not word.endswith("."):
+                (stops if ends else plain)[word] += 1
+    n = sum(stops.values()) + sum(plain.values())
+    p = sum(stops.values()) / n
+    found = {}
+    for word, k in stops.items():
+        m, dots = plain[word], word.count(".")
+        letters = len(word) - dots
+        ratio = 2 * (k * math.log(0.99 / p) + m * math.log(0.01 / (1 - p)))
+        score = ratio * math.exp(-letters) * (dots + 1) * float(letters) ** -m
+        if score >= 0.3:
+            found[word] = (k, m, score)
+    return found
+
+
+def test_abbreviations_equal_a_plain_version(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(LEARNT)], "Id long, Body string")
+    wanted = _plain_abbreviations(LEARNT)
+    got = {r.word: (r.with_stop, r.without, r.score) for r in sentences.abbreviations(df).collect()}
+    assert {"fig", "e.g", "dr"} <= set(got) == set(wanted) and "here" not in got
+    for word, (k, m, score) in wanted.items():
+        assert got[word][:2] == (k, m) and got[word][2] == pytest.approx(score)
+    assert sentences.abbreviations(df.limit(0)).collect() == []
+    assert sentences.abbreviations(df.where("Body is null or Body = ''")).collect() == []
+
+
+def test_sentence_tokens(spark):
+    data = list(enumerate(LEARNT)) + [(0, "once dr. again"), (None, "the fig. 3 here. now"), (99, "fig.")]
+    df = spark.createDataFrame(data, "Id long, Body string")
+    found = spark.createDataFrame([("fig",), ("e.g",), ("dr",)], "word string")
+    rows = sentences.with_sentence_tokens(df, found).collect()
+    assert len(rows) == len(data)
+    got = {(r.Id, r.Body): r.tokens for r in rows}
+    assert {"fig.", "dr.", "ten", "this", "."} <= set(got[0, LEARNT[0]]) and "here." not in got[0, LEARNT[0]]
+    assert {"e.g.", "fig.", "j.", "cf", "5", "out"} <= set(got[1, LEARNT[1]])
+    assert got[0, "once dr. again"] == ["once", "dr.", "again"]
+    assert got[None, "the fig. 3 here. now"] == ["the", "fig", ".", "3", "here", "now"]
+    assert got[99, "fig."] == ["fig", "."]  # the end of a text ends a sentence
+    assert got[4, ""] == [] and got[5, None] is None
+    none = spark.createDataFrame([], "word string")
+    texts = [t.replace("j. ", "") for t in LEARNT if t] + ["dog's\nx. y\n it's a.\tb."]
+    df = spark.createDataFrame([(i, t.replace(" a.", " aa.")) for i, t in enumerate(texts)], "Id long, Body string")
+    same = sentences.with_sentence_tokens(df, none).select("tokens", tokens.word_tokens(F.col("Body")).alias("plain"))
+    assert all(r.tokens == r.plain for r in same.where("not Body like '%x.%'").collect())
+
+
 def test_homework_and_assignment(spark):
     df = spark.createDataFrame(
         [(1, "my exams example"), (2, "example only"), (3, "teaches teachers, assignments")],
