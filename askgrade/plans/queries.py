@@ -156,7 +156,8 @@ def s9_cached_dataset(spark, d):
     arguments = {"variant": "stripped", "data": d, "good": C.GOOD_ABOVE, "bad": C.BAD_BELOW}
 
     def load():
-        return cached.cached_dataset(spark, "s9", arguments, lambda: stripped(spark, d))
+        inputs = [f"{d}/documents.parquet"]
+        return cached.cached_dataset(spark, "s9", arguments, lambda: stripped(spark, d), inputs)
 
     load()
     return _body(load())

@@ -1,8 +1,10 @@
 """Data sets, sources, splits, metrics: small fixtures and brute force."""
 
+import itertools
 import os
 import math
 import random
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
@@ -90,6 +92,55 @@ def test_cached_dataset_builds_once(spark):
     assert len(calls) == 1
 
 
+def test_cached_dataset_follows_its_input(spark, tmp_path):
+    source = str(tmp_path / "in")
+    spark.range(3).write.parquet(source)
+    calls = []
+
+    def load():
+        def build():
+            calls.append(1)
+            return spark.read.parquet(source)
+
+        return cached.cached_dataset(spark, "follows", {"at": source}, build, [source]).count()
+
+    assert [load(), load()] == [3, 3] and len(calls) == 1
+    spark.range(2).write.mode("append").parquet(source)
+    assert [load(), load()] == [5, 5] and len(calls) == 2
+    with pytest.raises(FileNotFoundError):
+        cached.cached_dataset(spark, "follows", {}, lambda: spark.range(1), [source + "x"])
+
+
+def test_cached_dataset_is_published_once_and_whole(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(cached, "work_dir", lambda _: str(tmp_path))
+    monkeypatch.setattr(cached, "new_path", lambda _, name: f"{tmp_path}/{name}-{next(numbers)}")
+    numbers = itertools.count()
+
+    def load(build):
+        return cached.cached_dataset(spark, "once", {"n": 4}, build)
+
+    def failing():
+        return spark.range(4).select(F.raise_error(F.lit("lost")).alias("id"))
+
+    with pytest.raises(Exception, match="lost"):
+        load(failing)
+    assert not (tmp_path / "datasets").exists()
+
+    def overtaken():
+        load(lambda: spark.range(4))  # another builder is faster
+        return spark.range(4)
+
+    assert load(overtaken).count() == 4
+    (place,) = (tmp_path / "datasets").iterdir()
+    assert sorted(f.name for f in place.iterdir() if not f.name.startswith(".")) == [cached.MANIFEST, "data"]
+    assert '"n": 4' in (place / cached.MANIFEST).read_text()
+    with ThreadPoolExecutor(4) as pool:
+        builds = [lambda: spark.range(7)] * 4
+        counts = list(pool.map(lambda b: cached.cached_dataset(spark, "both", {}, b).count(), builds))
+    assert counts == [7] * 4
+    assert len(list((tmp_path / "datasets").iterdir())) == 2
+
+
 def test_thresholds():
     assert questions.vote_thresholds(10, -1) == (10, -1)
     assert questions.vote_thresholds("x", -1) == (50, -5)
