@@ -2,12 +2,16 @@
 
     P(word | previous word) = P(class | class of the previous word) * P(word | class)
 
-* The ``CLUSTERED`` most frequent words get their classes by exchange clustering on the counts
-  of neighbours: each word in turn moves to the class that raises the likelihood most.
-* Every other word belongs to a class by its length, so its class needs no table. The start and
+* Exchange clustering in two steps. The ``CORE`` most frequent words are exchanged one after the
+  other on their neighbour counts: each moves to the class that raises the likelihood most.
+  Then all words of the vocabulary, those that occur ``LEAST`` times or more, are exchanged in
+  ``ROUNDS`` batches: Spark adds up how often each word stands before and after every class, and
+  a task moves each of its words to its best class against the same table of classes. So the
+  clustered words grow with the corpus. A batch that lowers the likelihood is taken back.
+* Words below ``LEAST`` belong to classes by their length, which needs no table. The start and
   the end of a text are one more class.
-* Word counts cover all training texts. The most frequent words (at most ``HEAVY``, by their
-  share of all tokens) are sent to every task; the others, nearly always rare, are joined.
+* Word counts cover all training texts. The vocabulary (at most ``HEAVY`` words, the most
+  frequent ones) is sent to every task; the counts of all other words are joined.
 """
 
 from __future__ import annotations
@@ -19,10 +23,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from askgrade.llm.common import small_batches, text_slices, whole_texts, word_hashes
-from askgrade.session import materialise
+from askgrade.llm.common import arrow_batches, small_batches, text_slices, whole_texts, word_hashes
+from askgrade.session import discard, materialise
 
-CLUSTERED = 1000
+CORE = 1000
+LEAST = 8
+ROUNDS = 2
 CLASSES = 48
 SWEEPS = 8
 HEAVY = 1 << 21
@@ -87,27 +93,67 @@ def count_words(texts: DataFrame) -> DataFrame:
     return counted.groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def _step(n: Column) -> Column:
+    """Counts on a logarithmic scale."""
+    return F.floor(F.log2(n) * 4).cast("int")
+
+
+def frequent(words: DataFrame) -> Column:
+    """Whether a row of ``word, n`` is in the vocabulary: ``n`` is at least LEAST, and at most HEAVY
+    words reach its step of the scale."""
+    is_word = (F.col("n") >= LEAST) & (F.col("word") != END)
+    steps = words.where(is_word).groupBy(_step(F.col("n")).alias("step")).agg(F.count("*").alias("words"))
+    lowest, room = None, HEAVY
+    for row in sorted(steps.collect(), reverse=True):  # at most 4 * 64 rows
+        room -= row["words"]
+        if room < 0:
+            break
+        lowest = row["step"]
+    return is_word & (_step(F.col("n")) >= lowest) if lowest is not None else F.lit(False)
+
+
 class Vocabulary:
-    """Frequent words with counts, sorted by key; the first ``units`` by frequency have units."""
+    """Frequent words sorted by key, with counts and classes. The first ``units`` by frequency are
+    the core; ``core`` has their ranks (-1 for the others)."""
 
-    def __init__(self, words: np.ndarray, counts: np.ndarray, clustered: int = CLUSTERED):
+    def __init__(self, words: np.ndarray, counts: np.ndarray):
         order = np.argsort(words)
-        self.words, self.counts = words[order], counts[order].astype(np.int32 if len(counts) == 0 or counts.max() < 1 << 31 else np.int64)
-        self.unit = np.full(len(words), -1, np.int32)
-        top = np.lexsort((self.words, -counts[order]))[:clustered]
-        self.unit[top] = np.arange(len(top))
+        self.words, self.counts = words[order], counts[order]
+        self.core = np.full(len(words), -1, np.int32)
+        top = np.lexsort((self.words, -self.counts))[:CORE]
+        self.core[top] = np.arange(len(top))
         self.units = len(top)
+        self.kinds = (self.words & np.uint64(7)).astype(np.int16)
+        self.classes, self.of = 0, None
 
-    def lookup(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Count (-1 if not among the frequent) and unit; other words' units follow the
-        clustered ones by length."""
-        tail = self.units + (keys & np.uint64(7)).astype(np.int64)
+    def classify(self, of: np.ndarray) -> None:
+        """``of`` has the classes of the core, then those of the lengths and of the boundary."""
+        self.classes = int(of[-1]) - N_LENGTHS
+        self.of = np.where(self.core >= 0, of[np.maximum(self.core, 0)], self.classes + self.kinds).astype(np.int16)
+
+    @property
+    def size(self) -> int:
+        """Classes, lengths and the boundary."""
+        return self.classes + N_LENGTHS + 1
+
+    def places(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether keys are in the vocabulary, and where."""
         if not len(self.words):
-            return np.full(len(keys), -1), tail
+            return np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
         place = np.minimum(np.searchsorted(self.words, keys), len(self.words) - 1)
-        known = self.words[place] == keys
-        unit = np.where(known, self.unit[place], -1)
-        return np.where(known, self.counts[place], -1), np.where(unit >= 0, unit, tail)
+        return self.words[place] == keys, place
+
+    def core_units(self, keys: np.ndarray) -> np.ndarray:
+        """Units of the core; other words' units follow by length."""
+        tail = self.units + (keys & np.uint64(7)).astype(np.int64)
+        known, place = self.places(keys)
+        if not len(self.words):
+            return tail
+        return np.where(known & (self.core[place] >= 0), self.core[place], tail)
+
+    def class_of(self, keys: np.ndarray, known: np.ndarray, place: np.ndarray) -> np.ndarray:
+        tail = self.classes + (keys & np.uint64(7)).astype(np.int64)
+        return np.where(known, self.of[place], tail) if len(self.words) else tail
 
 
 def _sequences(units: np.ndarray, first: np.ndarray, boundary: int) -> tuple[np.ndarray, np.ndarray]:
@@ -128,8 +174,7 @@ def _count_neighbours(shared) -> Callable:
         for batch in batches:
             for _, _, data, offsets in text_slices(batch.column("text")):
                 hashes, lengths, first = word_hashes(data, offsets)
-                _, units = vocabulary.lookup(_key(hashes, lengths))
-                before, own = _sequences(units, first, size - 1)
+                before, own = _sequences(vocabulary.core_units(_key(hashes, lengths)), first, size - 1)
                 total += np.bincount(before * size + own, minlength=size * size)
         pairs = np.flatnonzero(total)
         yield _word_rows(pairs.astype(np.uint64), total[pairs])
@@ -148,9 +193,7 @@ def exchange(counts: np.ndarray, movable: int, classes: int = CLASSES, sweeps: i
     rows, columns = counts @ member, counts.T @ member  # neighbours' classes of every unit
     table = member.T @ rows
 
-    def f(x: np.ndarray) -> np.ndarray:
-        return x * np.log(np.maximum(x, 1))
-
+    f = _f
     for _ in range(sweeps):
         moved = 0
         for unit in range(movable):
@@ -191,40 +234,205 @@ def exchange(counts: np.ndarray, movable: int, classes: int = CLASSES, sweeps: i
     return of
 
 
+def _contexts(shared) -> Callable:
+    """``word, slot, n``: how often a word of the vocabulary outside the core stands before a class
+    (slot: the class) and after one (slot: ``size`` and the class). Pairs of classes of all tokens
+    have the words -1, -2, ..."""
+
+    def rows(size: int, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array((keys // (2 * size)).astype(np.int32)), pa.array((keys % (2 * size)).astype(np.int32)), pa.array(counts)],
+            ["word", "slot", "n"],
+        )
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = shared.value
+        size = vocabulary.size
+        table = np.zeros(size * size, np.int64)
+        keys, counts, waiting = [], [], 0
+        for batch in batches:
+            for _, _, data, offsets in text_slices(batch.column("text")):
+                hashes, lengths, first = word_hashes(data, offsets)
+                key = _key(hashes, lengths)
+                known, place = vocabulary.places(key)
+                before, own = _sequences(vocabulary.class_of(key, known, place), first, size - 1)
+                table += np.bincount(before * size + own, minlength=size * size)
+                at = np.flatnonzero(known)
+                at = at[vocabulary.core[place[at]] < 0]
+                token = at + np.searchsorted(first[1:], at, "right")  # its place among words and ends
+                word = place[at] * (2 * size)
+                k, n = np.unique(np.concatenate([word + own[token + 1], word + size + before[token]]), return_counts=True)
+                keys.append(k)
+                counts.append(n)
+                waiting += len(k)
+                if waiting > FOLD:
+                    k, n = _summed(np.concatenate(keys), np.concatenate(counts))
+                    keys, counts, waiting = [k], [n], len(k)
+                    if len(k) > FOLD // 2:
+                        yield rows(size, k, n)
+                        keys, counts, waiting = [], [], 0
+        if keys:
+            yield rows(size, *_summed(np.concatenate(keys), np.concatenate(counts)))
+        pairs = np.flatnonzero(table)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array((-1 - pairs).astype(np.int32)), pa.array(np.zeros(len(pairs), np.int32)), pa.array(table[pairs])],
+            ["word", "slot", "n"],
+        )
+
+    return count
+
+
+def _f(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1))
+
+
+def likelihood(table: np.ndarray) -> float:
+    """The part of the training likelihood that depends on the classes; ``table`` has how often a
+    class precedes another."""
+    return float(_f(table).sum() - _f(table.sum(0)).sum() - _f(table.sum(1)).sum())
+
+
+def best_classes(table, classes, old, starts, slots, n) -> np.ndarray:
+    """The best class of every word by the exchange criterion, all against the same ``table``.
+
+    Word ``i`` is in class ``old[i]`` and has the entries from ``starts[i]`` on: ``n`` times in a slot,
+    as ``_contexts`` has them. It goes to one of the first ``classes`` or stays; its pairs with words
+    that move at the same time are taken as they are.
+    """
+    size = len(table)
+    base = np.concatenate([table.T, table])  # slot, class
+    totals = np.stack([table.sum(1), table.sum(0)])
+    owner = np.repeat(np.arange(len(old)), np.diff(np.append(starts, len(slots))))
+    n = n.astype(float)
+    there = base[:, :classes]
+    gain = np.add.reduceat(_f(there[slots] + n[:, None]) - _f(there)[slots], starts, axis=0)
+    own = base[slots, old[owner]]
+    stay = np.add.reduceat(_f(own) - _f(np.maximum(own - n, 0)), starts)
+    for side in (0, 1):
+        amount = np.bincount(owner, n * ((slots >= size) == side), len(old))
+        total = totals[side]
+        gain -= _f(total[:classes] + amount[:, None]) - _f(total[:classes])
+        stay -= _f(total[old]) - _f(np.maximum(total[old] - amount, 0))
+    inside = np.flatnonzero(old < classes)
+    gain[inside, old[inside]] = stay[inside]
+    best = gain.argmax(1)
+    return np.where(gain[np.arange(len(old)), best] > stay + 1e-9, best, old)
+
+
+def _move(shared) -> Callable:
+    def move(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, classes, of = shared.value
+        for batch in batches:
+            word, found = np.asarray(batch.column("word")), batch.column("found")
+            if not len(word):
+                continue
+            entries = found.flatten()
+            slots, n = (np.asarray(entries.field(x)) for x in (0, 1))
+            starts = np.cumsum(np.asarray(found.value_lengths())) - np.asarray(found.value_lengths())
+            new = best_classes(table, classes, of[word].astype(np.int64), starts, slots, n)
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(new.astype(np.int16))], ["word", "class"])
+
+    return move
+
+
+def _in_contexts(texts: DataFrame, vocabulary: Vocabulary) -> tuple[DataFrame, np.ndarray]:
+    """The words' contexts (``word, found``) as a table, and the pairs of classes."""
+    shared = texts.sparkSession.sparkContext.broadcast(vocabulary)
+    counted = (
+        small_batches(texts.select("text")).mapInArrow(_contexts(shared), "word int, slot int, n long")
+        .repartition("word").groupBy("word", "slot").agg(F.sum("n").alias("n"))
+        .groupBy("word").agg(F.collect_list(F.struct("slot", "n")).alias("found"))  # at most 2 * size entries
+    )
+    counted = materialise(counted, "lm-contexts")
+    shared.unpersist()
+    pairs = counted.where("word < 0").select((-1 - F.col("word")).alias("pair"), F.col("found")[0]["n"].alias("n")).toArrow()
+    table = np.zeros(vocabulary.size**2)
+    table[np.asarray(pairs["pair"].combine_chunks())] = np.asarray(pairs["n"].combine_chunks())
+    return counted, table.reshape(vocabulary.size, -1)
+
+
+def _class_pairs(texts: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
+    """How often a class precedes another."""
+    shared = texts.sparkSession.sparkContext.broadcast(vocabulary)
+    table = np.zeros(vocabulary.size**2)
+    counted = small_batches(texts.select("text")).mapInArrow(_count_classes(shared), "pair long, n long")
+    pairs = counted.groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    table[np.asarray(pairs["pair"].combine_chunks())] = np.asarray(pairs["n"].combine_chunks())
+    shared.unpersist()
+    return table.reshape(vocabulary.size, -1)
+
+
+def _count_classes(shared) -> Callable:
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = shared.value
+        size = vocabulary.size
+        total = np.zeros(size * size, np.int64)
+        for batch in batches:
+            for _, _, data, offsets in text_slices(batch.column("text")):
+                hashes, lengths, first = word_hashes(data, offsets)
+                key = _key(hashes, lengths)
+                before, own = _sequences(vocabulary.class_of(key, *vocabulary.places(key)), first, size - 1)
+                total += np.bincount(before * size + own, minlength=size * size)
+        pairs = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(total[pairs])], ["pair", "n"])
+
+    return count
+
+
+def exchange_in_batches(texts: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
+    """Move the words outside the core to their best classes, ROUNDS times; the pairs of classes.
+
+    What comes to the driver is a class for every word of the vocabulary, thus bounded by HEAVY.
+    """
+    spark = texts.sparkSession
+    best = None
+    for _ in range(ROUNDS if len(vocabulary.words) > vocabulary.units else 0):
+        contexts, table = _in_contexts(texts, vocabulary)
+        if best is not None and likelihood(table) < likelihood(best[1]):
+            discard(contexts)
+            break
+        best = vocabulary.of.copy(), table
+        shared = spark.sparkContext.broadcast((table, vocabulary.classes, vocabulary.of))
+        with arrow_batches(spark, 512):
+            moved = contexts.where("word >= 0").mapInArrow(_move(shared), "word int, class short").toArrow()
+        shared.unpersist()
+        discard(contexts)
+        vocabulary.of[np.asarray(moved["word"].combine_chunks())] = np.asarray(moved["class"].combine_chunks())
+    else:
+        table = _class_pairs(texts, vocabulary)
+        if best is None or likelihood(table) >= likelihood(best[1]):
+            return table
+    vocabulary.of, table = best
+    return table
+
+
 class Model:
-    """Everything that scoring needs in a task; bounded by HEAVY and CLUSTERED."""
-
-    def __init__(self, vocabulary, of, counts, tail_tokens, tail_words, tokens, distinct, ends):
-        self.vocabulary, self.of, self.tokens, self.distinct = vocabulary, of, tokens, distinct
-        size = int(of.max()) + 1
-        member = np.zeros((len(of), size))
-        member[np.arange(len(of)), of] = 1
-        table = member.T @ counts @ member
+    """Everything that scoring needs in a task; bounded by HEAVY."""
+
+    def __init__(self, vocabulary, table, tail_tokens, tail_words, tokens, distinct, ends):
+        self.vocabulary, self.tokens, self.distinct, self.ends = vocabulary, tokens, distinct, ends
+        size = vocabulary.size
         share = (table.sum(0) + 1) / (table.sum() + size)
         self.transition = np.log10((table + BETA * share) / (table.sum(1, keepdims=True) + BETA))
-        boundary = size - 1
-        in_class = np.zeros(size)
-        kinds = np.zeros(size)
-        top = vocabulary.unit >= 0
-        np.add.at(in_class, of[vocabulary.unit[top]], vocabulary.counts[top])
-        np.add.at(kinds, of[vocabulary.unit[top]], 1)
-        in_class[boundary - N_LENGTHS : boundary] = tail_tokens
-        kinds[boundary - N_LENGTHS : boundary] = tail_words
+        in_class = np.bincount(vocabulary.of, vocabulary.counts, size).astype(float)
+        kinds = np.bincount(vocabulary.of, minlength=size).astype(float)
+        in_class[size - 1 - N_LENGTHS : size - 1] += tail_tokens
+        kinds[size - 1 - N_LENGTHS : size - 1] += tail_words
         self.class_size = in_class + ALPHA * (kinds + 1)
         self.all = tokens + ALPHA * (distinct + 1)
-        self.ends = ends
 
     def tail_sizes(self) -> list[float]:
         return [float(x) for x in self.class_size[-1 - N_LENGTHS : -1]]
 
 
-def train(texts: DataFrame) -> tuple[Model, DataFrame]:
-    """The model of ``texts`` (column ``text``), and all word counts."""
+def train(texts: DataFrame) -> tuple[Model, DataFrame, Column]:
+    """The model of ``texts`` (column ``text``), all word counts, and which of them are in its vocabulary."""
     words = materialise(count_words(texts), "lm-words")
     tokens, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    frequent = words.where(F.col("n") > tokens / HEAVY).where(F.col("word") != END).toArrow()
+    in_vocabulary = frequent(words)
+    known = words.where(in_vocabulary).toArrow()
     vocabulary = Vocabulary(
-        np.asarray(frequent["word"].combine_chunks()).view(np.uint64), np.asarray(frequent["n"].combine_chunks())
+        np.asarray(known["word"].combine_chunks()).view(np.uint64), np.asarray(known["n"].combine_chunks())
     )
     shared = texts.sparkSession.sparkContext.broadcast(vocabulary)
     size = vocabulary.units + N_LENGTHS + 1
@@ -232,23 +440,19 @@ def train(texts: DataFrame) -> tuple[Model, DataFrame]:
         small_batches(texts.select("text")).mapInArrow(_count_neighbours(shared), "pair long, n long")
         .groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     )
+    shared.unpersist()
     counts = np.zeros(size * size)
     counts[np.asarray(pairs["pair"].combine_chunks())] = np.asarray(pairs["n"].combine_chunks())
-    counts = counts.reshape(size, size)
-    of = exchange(counts, vocabulary.units)
+    vocabulary.classify(exchange(counts.reshape(size, size), vocabulary.units))
+    table = exchange_in_batches(texts, vocabulary)
     kind = F.col("word").bitwiseAND(F.lit(7)).alias("kind")
-    sums = words.where(F.col("word") != END).groupBy(kind).agg(F.sum("n").alias("n"), F.count("*").alias("words"))
+    sums = words.where(F.col("word") != END).where(~in_vocabulary).groupBy(kind)
     tail_tokens, tail_words = np.zeros(N_LENGTHS), np.zeros(N_LENGTHS)
-    for row in sums.collect():  # one row per length class
+    for row in sums.agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect():  # one row per length class
         tail_tokens[row["kind"]], tail_words[row["kind"]] = row["n"], row["words"]
-    top = vocabulary.unit >= 0
-    kinds = (vocabulary.words[top] & np.uint64(7)).astype(int)
-    np.subtract.at(tail_tokens, kinds, vocabulary.counts[top])
-    np.subtract.at(tail_words, kinds, 1)
     ends = words.where(F.col("word") == END).select("n").first()
-    model = Model(vocabulary, of, counts, tail_tokens, tail_words, tokens, distinct, ends[0] if ends else 0)
-    shared.unpersist()
-    return model, words
+    model = Model(vocabulary, table, tail_tokens, tail_words, tokens, distinct, ends[0] if ends else 0)
+    return model, words, in_vocabulary
 
 
 _PARTS = """row long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double,
@@ -258,7 +462,7 @@ _PARTS = """row long, doc_id long, held_out boolean, n_tokens long, known long,
 def _score(shared) -> Callable:
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        boundary = len(model.of) - 1
+        boundary = model.vocabulary.size - 1
         for batch in batches:
             for lo, hi, data, offsets in text_slices(batch.column("text")):
                 yield pa.RecordBatch.from_arrays(
@@ -273,17 +477,15 @@ def _score(shared) -> Callable:
 def _parts(model: Model, boundary: int, data: np.ndarray, offsets: np.ndarray, n: int) -> list[pa.Array]:
     hashes, lengths, first = word_hashes(data, offsets)
     keys = _key(hashes, lengths)
-    count, units = model.vocabulary.lookup(keys)
+    known, place = model.vocabulary.places(keys)
+    classes = model.vocabulary.class_of(keys, known, place)
     owner = np.repeat(np.arange(n), np.diff(first))
-    before, own = _sequences(units, first, boundary)
-    steps = model.transition[model.of[before], model.of[own]]
-    score = np.bincount(np.repeat(np.arange(n), np.diff(first) + 1), steps, n)
-    known = count >= 0
-    at = owner[known]
-    base = np.bincount(at, np.log10((count[known] + 0.5) / model.all), n)
+    before, own = _sequences(classes, first, boundary)
+    score = np.bincount(np.repeat(np.arange(n), np.diff(first) + 1), model.transition[before, own], n)
+    at, count = owner[known], model.vocabulary.counts[place[known]]
+    base = np.bincount(at, np.log10((count + 0.5) / model.all), n)
     base += np.log10((model.ends + 0.5) / model.all)
-    in_class = model.class_size[model.of[units[known]]]
-    score += np.bincount(at, np.log10((count[known] + ALPHA) / in_class), n)
+    score += np.bincount(at, np.log10((count + ALPHA) / model.class_size[classes[known]]), n)
     n_known = np.bincount(at, minlength=n) + (model.ends > 0)
     rare, rare_owner = keys[~known], owner[~known]
     order = np.lexsort((rare, rare_owner))
@@ -310,13 +512,13 @@ def scored(documents: DataFrame) -> DataFrame:
     gives an empty result. Extra columns are left behind.
     """
     texts = whole_texts(documents)
-    model, words = train(texts.where(~held_out(F.col("doc_id"))))
+    model, words, in_vocabulary = train(texts.where(~held_out(F.col("doc_id"))))
     shared = texts.sparkSession.sparkContext.broadcast(model)
     rows = texts.select(F.monotonically_increasing_id().alias("row"), "doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
     parts = materialise(small_batches(rows).mapInArrow(_score(shared), _PARTS), "lm-parts")
     rare = parts.select("row", F.explode(F.arrays_zip("words", "times")).alias("w"))
     rare = rare.select("row", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
-    light = words.where(F.col("n") <= model.tokens / HEAVY)
+    light = words.where(~in_vocabulary)
     count = F.coalesce("n", F.lit(0))
     size = F.get(F.array(*[F.lit(x) for x in model.tail_sizes()]), F.col("word").bitwiseAND(F.lit(7)).cast("int"))
     rest = (

@@ -574,6 +574,69 @@ def test_exchange_raises_the_likelihood():
     assert all(len(set(of[:30][group == g])) == 1 for g in range(3)) and len(set(of[:30])) == 3
 
 
+def test_words_outside_the_core_get_classes(spark, monkeypatch):
+    """Two languages of 1,500 words that never mix and a small core: the batches part them."""
+    monkeypatch.setattr(class_lm, "CORE", 60)
+    rng = random.Random(5)
+    vocabulary = [["".join(rng.choice(letters) for _ in range(6)) for _ in range(1500)] for letters in ("abcd", "wxyz")]
+    data = [
+        (i, " ".join(vocabulary[i % 2][int(1500 * rng.random() ** 2)] for _ in range(200)), None, None, None)
+        for i in range(400)
+    ]
+    texts = table(spark, data)
+    model, *_ = class_lm.train(texts.where(~class_lm.held_out(texts.doc_id)))
+    known = model.vocabulary
+    assert len(known.words) > 1500 and known.units == 60
+    assert (known.of < known.classes).mean() > 0.99
+    with_classes = class_lm.scored(texts).where("held_out").collect()
+    monkeypatch.setattr(class_lm, "ROUNDS", 0)
+    core_only = class_lm.scored(texts).where("held_out").collect()
+    tokens = sum(r.n_tokens for r in with_classes)
+    assert sum(r.score for r in with_classes) > sum(r.score for r in core_only) + 0.05 * tokens
+    assert sum(r.score for r in with_classes) > sum(r.base_score for r in with_classes) + 0.25 * tokens
+
+
+def test_batches_take_the_best_class():
+    """Against plain sums of the criterion: what a class wins with the word, less what the word's own would lose."""
+    rng = np.random.default_rng(2)
+    classes, size, words_ = 4, 6, 40
+    table_ = rng.poisson(300, (size, size)).astype(float)
+    old = rng.integers(0, 5, words_)  # class 4 is one of lengths: a word may only leave it
+    found = rng.poisson(3, (words_, 2 * size)) * (rng.random((words_, 2 * size)) < 0.5)
+    found[:, 0] += 1
+    found = np.minimum(found, 100)
+
+    def g(x):
+        return x * math.log(x) if x > 0 else 0.0
+
+    wanted = []
+    for w in range(words_):
+        value = {}
+        for k in {*range(classes), int(old[w])}:
+            sign = -1 if k == old[w] else 1
+            value[k] = 0.0
+            for j in range(size):
+                for n, cell in ((found[w, j], table_[k, j]), (found[w, size + j], table_[j, k])):
+                    value[k] += sign * (g(cell + sign * n) - g(cell))
+            for n, total in ((found[w, :size].sum(), table_[k].sum()), (found[w, size:].sum(), table_[:, k].sum())):
+                value[k] -= sign * (g(total + sign * n) - g(total))
+        wanted.append(max(value, key=lambda k: (value[k], k == old[w])))
+    owner, slots = np.nonzero(found)
+    starts = np.searchsorted(owner, np.arange(words_))
+    new = class_lm.best_classes(table_, classes, old, starts, slots, found[owner, slots])
+    assert list(new) == wanted and any(new != old)
+
+
+def test_vocabulary_is_bounded_and_grows(spark, monkeypatch):
+    counts = spark.createDataFrame([(8 * i + 8, 1 + i % 40) for i in range(400)], "word long, n long")
+    whole = counts.where(class_lm.frequent(counts)).count()
+    assert whole == counts.where(f"n >= {class_lm.LEAST}").count()
+    monkeypatch.setattr(class_lm, "HEAVY", 100)
+    kept = counts.where(class_lm.frequent(counts))
+    assert 0 < kept.count() <= 100
+    assert kept.agg({"n": "min"}).first()[0] > counts.subtract(kept).agg({"n": "max"}).first()[0]
+
+
 # --- the pipeline against plain versions of its stages
 def test_pipeline_stages_on_a_fixture(spark, tmp_path):
     rng = random.Random(12)
