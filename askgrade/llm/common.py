@@ -37,6 +37,13 @@ def let_go() -> None:
         give_back()
 
 
+def free_shuffles(spark) -> None:
+    """Let Spark delete the shuffle files of finished jobs: it does so once the driver's JVM has
+    collected their plans, which a driver with room to spare puts off for long."""
+    gc.collect()
+    spark._jvm.java.lang.System.gc()
+
+
 def whole_texts(documents: DataFrame, *more: str) -> DataFrame:
     """``doc_id`` and ``text`` (null: empty), and the named columns; any others are left behind,
     so that extra columns cannot clash with an operator's own."""

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from askgrade.llm.common import let_go, mixed, small_batches, text_slices, whole_texts, word_hashes
+from askgrade.llm.common import free_shuffles, let_go, mixed, small_batches, text_slices, whole_texts, word_hashes
 from askgrade.llm.components import components, small_side
 from askgrade.session import discard, materialise
 
@@ -310,6 +310,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, measure: Mea
         .dropDuplicates(["node"])
     )
     sets = materialise(sets, "jaccard-sets")
+    free_shuffles(texts.sparkSession)
     both = (
         pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("s1")), "a")
         .join(sets.select(F.col("node").alias("b"), F.col("s").alias("s2")), "b")
@@ -318,6 +319,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, measure: Mea
     links = materialise(both.where(measure.linked("i", "sum")).select("a", "b"), "jaccard-links")
     for table in (pairs, ends, sets):
         discard(table)
+    free_shuffles(texts.sparkSession)
     return links
 
 
@@ -357,6 +359,7 @@ def linked(documents: DataFrame, measure: Measure = CONTRACT) -> DataFrame:
         F.first(F.struct("k1", "k2", "n", "r")).over(order).alias("head"),
     )
     near = materialise(near.where("combined or nth > 1 or next is not null").drop("next"), "jaccard-postings")
+    free_shuffles(texts.sparkSession)
     heads = near.where("combined and nth = 1")
     of_heads = Window.partitionBy("sig").orderBy("n", "k1", "k2")  # SALTS rows at most
     heads = heads.select(
@@ -385,6 +388,7 @@ def linked(documents: DataFrame, measure: Measure = CONTRACT) -> DataFrame:
     rest = materialise(rest.join(nodes.select("node", *FOLDED), "node"), "jaccard-open")
     for table in (near, found):
         discard(table)
+    free_shuffles(texts.sparkSession)
     # both sides are the same table, so its shuffle is made once
     one, two = rest.alias("one"), rest.alias("two")
     apart = measure.apart("one.n", "two.n")
