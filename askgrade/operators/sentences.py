@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from askgrade.functions.columns import computed_once
 from askgrade.functions.tokens import full_stops_cut, word_tokens_of_cut
 from askgrade.session import discard, materialise
 
@@ -28,6 +29,10 @@ def pieces(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(PIECE), F.lit(0))
 
 
+def _holds_stop(piece: Column) -> Column:
+    return F.contains(piece, F.lit("."))
+
+
 def _bare(piece: Column) -> Column:
     return F.regexp_replace(F.lower(piece), AROUND, "")
 
@@ -86,25 +91,29 @@ def with_sentence_tokens(
     ``Id``, so neither table is broadcast unless Catalyst finds it small. Rows of one Id may hold
     different texts; a row without Id knows no abbreviations. A null text has null tokens.
     """
-    own = texts.select("Id", F.explode(F.array_distinct(F.transform(pieces(F.col(column)), _bare))).alias("bare"))
+    stopped = F.filter(pieces(F.col(column)), _holds_stop)
+    own = texts.select("Id", F.explode(F.array_distinct(F.transform(stopped, _bare))).alias("bare"))
     own = own.where(F.col("Id").isNotNull() & _with_stop(F.col("bare")))
     own = own.select(F.col("Id").alias("_id"), _type(F.col("bare")).alias("_word"))
     known = own.join(found.select(F.col("word").alias("_word")), "_word").groupBy("_id")
     known = known.agg(F.collect_set("_word").alias("_known"))
     joined = texts.join(known, F.col("Id") == F.col("_id"), "left")
-    words = F.coalesce("_known", F.array().cast("array<string>"))
-    return joined.withColumn(name, sentence_tokens(F.col(column), words)).drop("_id", "_known")
+    known = F.coalesce("_known", F.array().cast("array<string>"))
+    steps = computed_once(joined, "_parts", pieces(F.col(column)))
+    steps = computed_once(steps, "_cut", F.array_join(sentences_cut(F.col("_parts"), known), ""))
+    return steps.withColumn(name, word_tokens_of_cut(F.col("_cut"))).drop("_id", "_known", "_parts", "_cut")
 
 
-def sentence_tokens(text: Column, known: Column) -> Column:
-    """Distinct word tokens of a text whose abbreviations are given as an array."""
-    parts = pieces(text)
+def sentences_cut(parts: Column, known: Column) -> Column:
+    """The pieces of a text with full stops cut off at sentence ends; its abbreviations are given as an array.
+
+    ``parts`` is a column, not an expression: it is read for every piece.
+    """
     last = F.size(parts) - 1
 
     def cut(piece: Column, i: Column) -> Column:
-        bare = _bare(piece)
-        word = _type(bare)
-        stays = _with_stop(bare) & (i < last) & (word.rlike(r"^\p{L}$") | F.array_contains(known, word))
+        word = _type(_bare(piece))
+        stays = (i < last) & _with_stop(_bare(piece)) & (word.rlike(r"^\p{L}$") | F.array_contains(known, word))
         return F.when(stays, piece).otherwise(full_stops_cut(piece))
 
-    return word_tokens_of_cut(F.array_join(F.transform(parts, cut), ""))
+    return F.transform(parts, lambda piece, i: F.when(_holds_stop(piece), cut(piece, i)).otherwise(piece))
