@@ -262,3 +262,14 @@ def test_discard_deletes_its_own_table_only(spark, tmp_path):
     discard(spark.read.parquet(elsewhere))  # not below the shared folder
     assert not os.path.exists(path)
     assert kept.count() == 5 and spark.read.parquet(elsewhere).count() == 4
+
+
+def test_a_large_file_is_spread_over_more_tasks_than_cores(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "one.parquet")
+    spark.range(5000).selectExpr("id", "sha2(cast(id as string), 256) as text").coalesce(1).write.parquet(path)
+    table = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    assert tables.spread(table).rdd.getNumPartitions() == cores
+    monkeypatch.setattr(tables, "PART_BYTES", 4096)
+    assert tables.spread(table).rdd.getNumPartitions() > 4 * cores
+    assert tables.spread(table).count() == 5000
