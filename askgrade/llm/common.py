@@ -18,6 +18,7 @@ SLICE_BYTES = 1 << 20
 #: What a Python worker keeps for the next task of the same operator; others clear it first.
 HELD: dict = {}
 BATCH_ROWS = 400
+BATCH_BYTES = 4 << 20
 
 
 def give_back() -> None:
@@ -55,8 +56,10 @@ def whole_texts(documents: DataFrame, *more: str) -> DataFrame:
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """Keep Arrow batches small, since one row may hold a very long text."""
+    """Keep Arrow batches small, in rows and in bytes, since one row may hold a very long text and
+    long texts may stand together."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return df
 
 
