@@ -174,6 +174,12 @@ def test_dual_closes_the_gap_and_equals_a_plain_solver(spark, texts, one_block,
         next(batched.train_dual(counts, [batched.Problem("x", None, SPEC, "log", c=1.0)], [5]))
 
 
+def test_long_form_is_not_shuffled_by_id_and_term(texts):
+    plan = vectorize.tfidf_long(texts, SPEC)._jdf.queryExecution().executedPlan().toString()
+    by_both = [line for line in plan.splitlines() if "hashpartitioning(Id" in line and "term" in line]
+    assert not by_both and "hashpartitioning(Id" in plan
+
+
 def test_whole_grids_are_in_the_result(spark, texts):
     for points in (search.sgd_points(), search.linear_svc_points()):
         short = [p | {"n_iter": 1 + p["n_iter"] % 7} for p in points]  # every point, fewer passes
