@@ -174,6 +174,69 @@ def test_dual_closes_the_gap_and_equals_a_plain_solver(spark, texts, one_block,
         next(batched.train_dual(counts, [batched.Problem("x", None, SPEC, "log", c=1.0)], [5]))
 
 
+def test_search_trains_folds_and_whole_sets_in_one_run(texts, monkeypatch):
+    runs, trained = [], search.trained_svc
+    monkeypatch.setattr(search, "trained_svc", lambda c, problems, n: runs.append(problems) or trained(c, problems, n))
+    points = [p for p in search.svc_points() if p["kernel"] == "linear" and p["C"] < 100]
+    found = search.search_svc(texts, SPEC, points, k=3)
+    assert len(runs) == 1 and {p.held for p in runs[0]} == {None, 0, 1, 2}
+    counts = batched.count_table({search.ALL: folded(texts)}, [SPEC], 3)
+    alone = search.svc_problem(found.best, SPEC, None)
+    weights = trained(counts, [alone], search.SVC_EPOCHS)[alone]
+    assert np.allclose(search.as_model(counts, alone, weights).weights, found.model.weights, atol=0.05)
+
+
+def one_block(counts, problems):
+    slab, = batched.slabs(counts, problems)
+    return slab, batched.Rows(counts.blocks.toArrow().to_batches()[0], 0, slab)
+
+
+def test_local_epochs_equal_row_by_row_ascent(texts):
+    specs = [SPEC, FeatureSpec(0.1, 0.9, use_idf=False, norm="l1")]
+    counts = batched.count_table({"x": folded(texts)}, specs, 3)
+    problems = [batched.Problem("x", held, s, loss, c=c) for held in (None, 0) for s in specs
+                for loss in ("hinge", "squared_hinge") for c in (0.1, 10.0)]
+    slab, rows = one_block(counts, problems)
+    start = np.zeros((120, len(problems)))
+    x, sign, fold = dense(texts, SPEC, list(range(120)))
+    assert len(x) == len(rows.fold)
+    got = {}
+    for most in (0, len(problems)):  # all together, then one after the other
+        batched.ALONE, before = most, batched.ALONE
+        try:
+            got[most] = batched._local(rows, slab.zeros(), start, np.ones(len(problems), bool), 2, 3, np.random.default_rng(5))
+        finally:
+            batched.ALONE = before
+    wanted, u = np.zeros_like(start), slab.u[rows.present]
+    features = [batched.Rows._times(rows, np.diag(u[:, s])) / rows.norm[:, [s]] for s in range(u.shape[1])]
+    for j, p in enumerate(slab.problems):
+        own, gain = features[slab.which[j]], 2 / (slab.alpha[j] * slab.rows[j])
+        w, bias, rng = np.zeros(own.shape[1]), 0.0, np.random.default_rng(5)
+        lift, top = (0.5, np.inf) if p.loss == "squared_hinge" else (0.0, 1.0)
+        for i in [i for _ in range(3) for i in rng.permutation(120)]:
+            if rows.fold[i] != slab.held[j]:
+                old = wanted[i, j]
+                pace = (own[i] @ own[i] + 1) * gain + lift
+                wanted[i, j] = min(max(old + (1 - rows.sign[i] * (own[i] @ w + bias) - lift * old) / pace, 0.0), top)
+                w += (wanted[i, j] - old) * rows.sign[i] * gain * own[i]
+                bias += (wanted[i, j] - old) * rows.sign[i] * gain
+    assert wanted.any(axis=0).all()
+    assert all(np.allclose(g, wanted, atol=1e-9) for g in got.values())
+
+
+def test_few_columns_take_no_dense_matrix(texts, monkeypatch):
+    counts = batched.count_table({"x": folded(texts)}, [SPEC], 3)
+    slab, rows = one_block(counts, [batched.Problem("x", held, SPEC, "log", strength=1e-4) for held in (None, 0, 1)])
+    weights, pull = np.random.default_rng(1).random((2, 200, 3))
+    weights = weights[: len(rows.u) + 1]
+    wanted = rows.margins(weights), rows.back(pull[:120])
+    monkeypatch.setattr(batched, "NARROW", 0)
+    assert np.allclose(rows.margins(weights), wanted[0]) and np.allclose(rows.back(pull[:120]), wanted[1])
+    monkeypatch.undo()
+    monkeypatch.setattr(batched.Rows, "_each", lambda self: 1 / 0)
+    batched._gradient(rows, weights)
+
+
 def test_long_form_is_not_shuffled_by_id_and_term(texts):
     plan = vectorize.tfidf_long(texts, SPEC)._jdf.queryExecution().executedPlan().toString()
     by_both = [line for line in plan.splitlines() if "hashpartitioning(Id" in line and "term" in line]
