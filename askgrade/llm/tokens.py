@@ -4,24 +4,35 @@ A text is cut before every space that follows a character other than white space
 again into a word, the punctuation behind it, and lines. The tokenizers used here never join
 characters across such places, so the ids of a text are the ids of its parts in a row. Every
 word is encoded once while a Python worker remembers it; all new words of a batch go to the
-tokenizer in one call. Any piece of another form is encoded as it is.
+tokenizer in few calls. Any piece of another form is encoded as it is.
+
+Texts of nothing but letters, digits, single spaces, line breaks, full stops and commas are cut into
+words and signs at once. New words of basic Latin letters need neither the tokenizer's
+normaliser nor its search for words, so its model gets them split at spaces.
 """
 
 from __future__ import annotations
 
+import os
 import re
 import string
 
 import numpy as np
 import public_tokenizers
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from askgrade.llm.common import HELD, give_back
 
 REMEMBERED = 200_000  # in each of two generations; about 40 MB
 AT_ONCE = 20_000
+IN_A_LINE = 2_000  # words that the bare model gets in one string
 _CUT = re.compile(r"(?<=\S)(?= )")
 _BEFORE_SPACE = re.compile(r"\s ")
+_LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")  # letters that composition leaves alone
+#: The character by which byte-level vocabularies write each byte from 0xA1 up is its own, except 0xAD.
+_BYTE_CHARS = {i: 256 + n for n, i in enumerate([*range(33), *range(127, 161), 173])}
+_SPLIT_LOWER = "İ"  # its lower case holds a mark, which goes with the signs behind it
+_BREAK = "\0"  # stands for a line break among the pieces of a plain text
 
 
 class Memo:
@@ -34,16 +45,13 @@ class Memo:
         """Keys that are not known; the others are in ``new`` afterwards."""
         if len(self.new) > self.size:
             self.new, self.old = {}, self.new
-        out = []
         new, old = self.new, self.old
-        for key in keys:
-            if key not in new:
-                if key in old:
-                    new[key] = old[key]
-                else:
-                    out.append(key)
-        return out
-
+        out = list(keys.difference(new))
+        if not old:
+            return out
+        known = [key for key in out if key in old]
+        new.update((key, old[key]) for key in known)
+        return [key for key in out if key not in old] if known else out
 
     def rest(self) -> None:
         """Between tasks only the newer generation is kept."""
@@ -67,6 +75,9 @@ class Encoder:
         self.line = self._encode_one("\n")
         self.no_case = self._ids("A") == self._ids("a")
         self.pieces, self.words, self.signs = Memo(), Memo(), {"": b""}
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the threads
+        self.bare = Tokenizer(self.tokenizer.model)
+        self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -74,15 +85,46 @@ class Encoder:
     def _encode_one(self, text: str) -> bytes:
         return np.array(self._ids(text), np.uint16).tobytes()
 
+    def _ids_of_latin(self, words: list[str]) -> list[int]:
+        """Ids of words of basic Latin letters with a space before, from the model alone."""
+        ids: list[int] = []
+        for at in range(0, len(words), IN_A_LINE):
+            line = " ".join(words[at : at + IN_A_LINE])
+            if self.byte_level:
+                line = "Ġ" + line.replace(" ", " Ġ")
+            else:
+                line = line.lower() if self.no_case else line
+            if not line.isascii():
+                line = line.replace("Ġ", "\n").encode().decode("latin-1").translate(_BYTE_CHARS)
+                line = line.replace("Ġ", " ").replace("Ċ", "Ġ")
+            ids += self.bare.encode_batch_fast([line], add_special_tokens=False)[0].ids
+        return ids
+
     def _learn_words(self, words: list[str]) -> None:
-        """Words of letters with a space before, or, if they begin with a line break, behind it."""
-        spaced = [w for w in words if w[0] != "\n"]
-        behind = [w for w in words if w[0] == "\n"]
+        """Words of letters with a space before, or, if they begin with a line break, behind it; any
+        other as it is."""
         known = self.words.new
-        for group, join in ((spaced, " "), (behind, "")):
+        ascii_, latin, spaced, behind = [], [], [], []
+        for w in words:
+            if not w.isalpha():
+                if w[0] != "\n":  # of a plain text: words with digits, signs, and words right behind one
+                    known[w] = self.line if w == _BREAK else self._encode_one(w if w[0] in ".," else " " + w)
+                elif w[1:].isalpha():
+                    behind.append(w)
+                else:
+                    known[w] = self._encode_one(w[1:])
+            elif w.isascii():
+                ascii_.append(w)
+            elif _LATIN.fullmatch(w):
+                latin.append(w)
+            else:
+                spaced.append(w)
+        latin = ascii_ + latin
+        for group, join, bare in ((latin, " ", True), (spaced, " ", False), (behind, "", False)):
             for at in range(0, len(group), AT_ONCE):
                 some = group[at : at + AT_ONCE]
-                ids = np.array(self._ids(join + join.join(some)), np.uint16)
+                ids = self._ids_of_latin(some) if bare else self._ids(join + join.join(some))
+                ids = np.array(ids, np.uint16)
                 if join:
                     found = np.flatnonzero(self.edges[ids])
                     starts = found if self.byte_level else np.concatenate([[0], found[:-1] + 1])
@@ -120,7 +162,9 @@ class Encoder:
         known, signs, lower, marks = self.pieces.new, self.signs, self.no_case, string.punctuation
         for piece in pieces:
             word = piece.rstrip(marks)
-            if word.isalpha():
+            if lower and _SPLIT_LOWER in piece:
+                known[piece] = self._encode_one(" " + piece)
+            elif word.isalpha():
                 simple.append((piece, word.lower() if lower and word.isascii() else word, len(word)))
             elif (parts := self._parts(piece)) is not None:
                 lines.append((piece, parts))
@@ -146,7 +190,39 @@ class Encoder:
         for piece, parts in lines:
             known[piece] = line.join([signed(word, sign) for word, sign in parts])
 
+    def _plain(self, text: str) -> list[str] | None:
+        """Words, numbers, full stops, commas and line breaks of a text of no others, or None for any other text. Words after
+        a line break and the first one begin with a line break if a space before a word counts."""
+        if not self.byte_level and (not self.no_case or _SPLIT_LOWER in text):
+            return None
+        if not text.replace(" ", "").replace(".", "").replace(",", "").replace("\n", "").isalnum():
+            return None
+        if self.byte_level:
+            cut = "\n" + text.replace("\n", f" {_BREAK} \n")
+            cut = cut.replace(".", " .").replace(",", " ,")
+            if "  " in cut or "\n " in cut or cut[-1] in " \n":
+                return None
+        else:
+            cut = (text.lower() if text.isascii() else text).replace(".", " .").replace(",", " ,")
+        if ". ." in cut or ". ," in cut or ", ." in cut or ", ," in cut:
+            return None
+        return cut.split(" ") if self.byte_level else cut.split()
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        out: list[bytes] = [b""] * len(texts)
+        plain = [(i, p) for i, p in enumerate(map(self._plain, texts)) if p is not None]
+        others = set(range(len(texts))).difference(i for i, _ in plain)
+        new = self.words.missing(set().union(*[p for _, p in plain]))
+        if new:
+            self._learn_words(new)
+        find = self.words.new.__getitem__
+        for i, pieces in plain:
+            out[i] = b"".join(map(find, pieces))
+        for i, ids in zip(sorted(others), self._encode_others([texts[i] for i in sorted(others)])):
+            out[i] = ids
+        return [np.frombuffer(x, np.uint16) for x in out]
+
+    def _encode_others(self, texts: list[str]) -> list[bytes]:
         cut: list[tuple[str, list[str]]] = []
         wanted: set[str] = set()
         for text in texts:
@@ -165,11 +241,7 @@ class Encoder:
         if new:
             self._learn(new)
         find = self.pieces.new.__getitem__
-        return [
-            np.frombuffer((self._encode_one(first) if first else b"") + b"".join(map(find, rest)), np.uint16)
-            for first, rest in cut
-        ]
-
+        return [(self._encode_one(first) if first else b"") + b"".join(map(find, rest)) for first, rest in cut]
 
     def rest(self) -> None:
         """Give memory back between tasks, since another step may run in this worker next."""
