@@ -11,7 +11,8 @@ A ``Measure`` gives the words of a shingle and the share; ``t`` below is that sh
    share no rare shingle, they differ in fewer frequent ones than a set has groups when its
    frequent shingles are dealt by hash into one group more than the largest difference; so one
    group, a combination of several shingles, is the same in both, and the index holds these.
-4. Candidates whose sizes, or whose bitmaps of ``BITS`` parities, show a difference beyond the limit
+4. Candidates whose sizes, or whose bitmaps of ``BITS`` parities (more for larger sets, since a bitmap
+   shorter than the limit cannot show it), show a difference beyond the limit
    go; the bitmaps of two sets differ in no more places than the sets. The others are verified
    on whole sets. A first round links every set with two neighbours of
    each posting; a second verifies the remaining pairs that are still in different components,
@@ -67,6 +68,11 @@ class Measure:
         both = 2 * (100 / self.percent) ** (band + 2)
         return int(both * (100 - self.percent) / (100 + self.percent) + 1e-6) + 1
 
+    @property
+    def foldings(self) -> int:
+        """How many times the bitmap of one of two sets of fitting sizes can be twice as long as the other's."""
+        return int(np.ceil(np.log2(100 / self.percent) - 1e-9))
+
     def apart(self, n: str, m: str) -> Column:
         """The largest difference of two linked sets of these sizes."""
         return F.floor((F.col(n) + F.col(m)).cast("long") * (100 - self.percent) / (100 + self.percent))
@@ -122,16 +128,22 @@ def _token_class(hashes: np.ndarray) -> np.ndarray:
 
 
 def _bitmaps(hashes: np.ndarray, bounds: np.ndarray) -> tuple[pa.Array, list[pa.Array]]:
-    """For each set, the parity of its hashes in each of BITS places, as a list of longs, and in
-    each of 64 * len(FOLDED) places, as columns."""
-    n = len(bounds) - 1
-    owner = np.repeat(np.arange(n), np.diff(bounds))
-    place = owner * BITS + (hashes % np.uint64(BITS)).astype(np.int64)
-    parity = (np.bincount(place, minlength=n * BITS) & 1).astype(bool).reshape(n, BITS)
-    longs = np.packbits(parity, axis=1).view(np.int64)
-    folded = np.bitwise_xor.reduce(longs.reshape(n, -1, len(FOLDED)), axis=1)
-    lists = np.arange(0, n * BITS // 64 + 1, BITS // 64, dtype=np.int32)
-    return pa.ListArray.from_arrays(lists, pa.array(longs.reshape(-1))), [pa.array(x) for x in folded.T.copy()]
+    """For each set, the parity of its hashes in each of BITS places (of a power of two not below
+    its size, if it is larger), as a list of longs, and in each of 64 * len(FOLDED) places, as columns."""
+    sizes = np.diff(bounds)
+    places = np.full(len(sizes), BITS, np.int64)
+    large = np.flatnonzero(sizes > BITS)
+    places[large] = 1 << np.ceil(np.log2(sizes[large])).astype(np.int64)
+    ends = np.cumsum(places)
+    starts = ends - places
+    inside = (hashes & np.repeat(places - 1, sizes).astype(np.uint64)).astype(np.int64)
+    counts = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
+    np.add.at(counts, np.repeat(starts, sizes) + inside, np.uint8(1))
+    longs = np.packbits(counts & 1).view(np.int64)
+    rows = longs.reshape(-1, len(FOLDED))
+    folded = np.bitwise_xor.reduceat(rows, starts // (64 * len(FOLDED))) if len(sizes) else rows
+    lists = np.concatenate([[0], ends // 64]).astype(np.int32)
+    return pa.ListArray.from_arrays(lists, pa.array(longs)), [pa.array(x) for x in folded.T.copy()]
 
 
 _COUNTED = """doc_id long, n long, k1 long, k2 long, bits array<long>, f0 long, f1 long, f2 long, f3 long,
@@ -287,12 +299,24 @@ def _set_rows(measure: Measure) -> Callable:
     return set_rows
 
 
+def _as_short_as(bits: Column, other: Column) -> Column:
+    """A bitmap, folded in the middle if the other one is shorter."""
+    half = F.shiftright(F.size(bits), 1)
+    folded = F.zip_with(
+        F.slice(bits, 1, half), F.slice(bits, half + 1, half), lambda x, y: x.bitwiseXOR(y)
+    )
+    return F.when(half >= F.size(other), folded).otherwise(bits)
+
+
 def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, measure: Measure) -> DataFrame:
     """The pairs (``a, b``) that are links, as a table. Sets are made again from the texts of candidates only."""
     pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     first = nodes.select(F.col("node").alias("a"), F.col("n").alias("n1"), F.col("bits").alias("bits1"))
     second = nodes.select(F.col("node").alias("b"), F.col("n").alias("n2"), F.col("bits").alias("bits2"))
-    unlike = F.zip_with("bits1", "bits2", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    bits1, bits2 = F.col("bits1"), F.col("bits2")
+    for _ in range(measure.foldings):
+        bits1, bits2 = _as_short_as(bits1, bits2), _as_short_as(bits2, bits1)
+    unlike = F.zip_with(bits1, bits2, lambda x, y: F.bit_count(x.bitwiseXOR(y)))
     places = F.aggregate(unlike, F.lit(0), lambda x, y: x + y)
     pairs = (
         pairs.join(first, "a").join(second, "b")
